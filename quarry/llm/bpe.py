@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import text_slices, written
-from quarry.llm.unicode_classes import disputed
+from quarry.llm.unicode_classes import has_disputed
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,7 +64,7 @@ class Vocabulary:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii() and disputed().search(text):
+        if not text.isascii() and has_disputed(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return self._words.findall(text)
 

@@ -17,5 +17,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), source), source))
 
 
-QUERIES = {"op5_bpe": op5_bpe}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quarry.llm import bpe, token_counts
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), bpe.read_text(public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {"op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,41 +5,46 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+import numpy as np
 import regex
 
 #: Classes of code points.
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
-_LETTER, _NUMBER, _SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\s")
+
+@functools.cache
+def classes() -> bytes:
+    """A class for each code point."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    out = bytearray([OTHER]) * 0x110000
+    for pattern, kind in (("\\p{L}+", LETTER), ("\\p{N}+", NUMBER), ("\\s+", SPACE)):
+        for m in regex.finditer(pattern, every):
+            a, b = ord(m[0][0]), ord(m[0][-1])
+            out[a : b + 1] = bytes([kind]) * (b + 1 - a)
+    return bytes(out)
 
 
 @functools.cache
-def disputed() -> regex.Pattern:
-    """Matches code points that this Python's Unicode tables leave unassigned.
+def _disputed() -> np.ndarray:
+    table = np.frombuffer(classes(), np.uint8)
+    flags = np.zeros(0x110000, bool)
+    for c in np.flatnonzero((table == LETTER) | (table == NUMBER)).tolist():
+        flags[c] = unicodedata.category(chr(c)) == "Cn"
+    return flags
+
+
+def disputed() -> list[int]:
+    """Letters and numbers that this Python's Unicode tables leave unassigned.
 
     Libraries with other Unicode versions may class them otherwise, so texts that
     hold one take the library's own, slower path.
     """
-    odd = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn" and (_LETTER.match(chr(c)) or _NUMBER.match(chr(c)))]
-    runs: list[list[int]] = []
-    for c in odd:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+    return np.flatnonzero(_disputed()).tolist()
 
 
-@functools.cache
-def classes() -> bytes:
-    """A class for each code point."""
-    out = bytearray([OTHER]) * 0x110000
-    for c in range(0x110000):
-        ch = chr(c)
-        if _LETTER.match(ch):
-            out[c] = LETTER
-        elif _NUMBER.match(ch):
-            out[c] = NUMBER
-        elif _SPACE.match(ch):
-            out[c] = SPACE
-    return bytes(out)
+def has_disputed(text: str) -> bool:
+    try:
+        text.encode("latin-1")  # none there, and this is fast
+    except UnicodeEncodeError:
+        return bool(_disputed()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
+    return False
