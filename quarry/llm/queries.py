@@ -24,5 +24,32 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), bpe.read_text(public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import language_id as li
+    from quarry.llm.common import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = li.predict(docs, li.fit(li.learning_rows(docs)))
+    return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "lang_pred", "score", "margin")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import toxicity as tox
+    from quarry.llm.common import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = tox.score(docs, tox.fit(docs, tox.learning_labels(table(spark, sf_dir, "labels"))))
+    return scored.select("doc_id", held_out(scored.doc_id).alias("held_out"), "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import quality as ql
+    from quarry.llm.common import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ql.score(docs, ql.fit(docs, ql.learning_labels(table(spark, sf_dir, "labels"))))
+    return scored.select("doc_id", held_out(scored.doc_id).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
