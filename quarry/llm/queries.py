@@ -51,5 +51,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(scored.doc_id).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import jaccard_join
+
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
+QUERIES = {"op8_jaccard_join": op8_jaccard_join, "op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
