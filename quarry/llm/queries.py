@@ -57,5 +57,26 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
 
 
-QUERIES = {"op8_jaccard_join": op8_jaccard_join, "op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import decontamination
+
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from quarry.llm import suffix_dedup
+
+    left = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op6_suffix_dedup": op6_suffix_dedup, "op3_decontamination": op3_decontamination, "op7_nearest": op7_nearest, "op8_jaccard_join": op8_jaccard_join, "op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
