@@ -78,5 +78,23 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op6_suffix_dedup": op6_suffix_dedup, "op3_decontamination": op3_decontamination, "op7_nearest": op7_nearest, "op8_jaccard_join": op8_jaccard_join, "op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id, "op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_licenses": op2_licenses,
+    "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
+    "op5_bpe": op5_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_nearest": op7_nearest,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
+}
+#: Those that SQL can express over whole tables; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
