@@ -36,7 +36,7 @@ BITS = 32
 #: Vectors of a shard; queries of a block.
 SHARD, BLOCK = 8192, 4096
 #: Share of a shard's entries that the ascent gathers at least, over all trees, as a multiple of the shard's vectors.
-SHARE = 0.4
+SHARE = 0.65
 SEED = 11
 
 

@@ -193,7 +193,9 @@ def maximal(anchor: np.ndarray, reach: np.ndarray, before: np.ndarray, data: lis
 def _stretches(number: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows: region, first and last."""
     key = np.unique(number.astype(np.int64) << 32 | window)
-    new = np.flatnonzero(np.concatenate([[True], np.diff(key) != 1])) if len(key) else np.zeros(0, np.int64)
+    if not len(key):
+        return key, key, key
+    new = np.flatnonzero(np.concatenate([[True], np.diff(key) != 1]))
     last = np.concatenate([new[1:], [len(key)]]).astype(np.int64) - 1
     low = np.int64((1 << 32) - 1)
     return key[new] >> 32, key[new] & low, key[last] & low
