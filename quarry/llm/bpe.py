@@ -9,6 +9,9 @@ codes by position. Decoding joins ids to pieces of the vocabulary.
 Words travel packed, a row for each block and bucket: a frequent word costs one
 entry in each block that has it, so no key is hot, however skewed the words.
 
+The input is read twice and must give the same rows both times, as files do;
+blocks are named by their content, and a block that changed raises an error.
+
 Nulls: a null text counts as empty and has no ids. A null doc_id stays null.
 Repeated rows and documents are kept, each on its own. Empty tables give empty
 results. Other columns of the input are ignored, whatever their names.
@@ -30,14 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_slices, written
+from quarry.llm.common import text_slices
 from quarry.llm.unicode_classes import has_disputed
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes of text in a block (a single longer text makes a block of its own).
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
 #: Bytes of packed words that a bucket should hold, at most.
 BUCKET_BYTES = 8_000_000
 
@@ -101,47 +104,52 @@ def _codes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-BLOCKS = "block string, bucket int, head binary, codes binary, words binary"
+WORDS_BY_BUCKET = "block string, bucket int, words binary"
+CODES = "block string, head binary, codes binary"
 
 
-def split_blocks(source, buckets: int, block_bytes: int):
-    """mapInArrow: blocks of documents as codes by position, and their words by bucket."""
-    schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("head", pa.binary()), ("codes", pa.binary()), ("words", pa.binary())])
+def split_blocks(source, buckets: int, block_bytes: int, words_wanted: bool):
+    """mapInArrow: blocks of documents; either their words by bucket, or codes by position.
 
-    def close(number: int, ids: list, lengths: list[int], codes: array, table: dict[str, int]) -> pa.RecordBatch:
-        from pyspark import TaskContext
+    A block is named by a digest of its content, so both passes name it alike.
+    """
 
-        block = f"{TaskContext.get().partitionId()}-{number}"
+    def close(digest, ids: list, lengths: list[int], codes: array, table: dict[str, int]) -> pa.RecordBatch:
+        block = digest.hexdigest()
         words = list(table)
         home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int32, len(words))
         order = np.argsort(home, kind="stable").astype("<u4")  # codes as they lie in the buckets
-        head = _pack(json.dumps([ids, lengths]).encode())
-        by_position = _planes(np.frombuffer(codes, "<u4"))
-        rows = [(block, -1, head, len(by_position).to_bytes(8, "little") + by_position + _planes(order), None)]
+        if not words_wanted:
+            by_position = _planes(np.frombuffer(codes, "<u4"))
+            both = len(by_position).to_bytes(8, "little") + by_position + _planes(order)
+            return pa.RecordBatch.from_pydict({"block": [block], "head": pa.array([_pack(json.dumps([ids, lengths]).encode())], pa.binary()), "codes": pa.array([both], pa.binary())})
         bounds = np.searchsorted(home[order], np.arange(buckets + 1))
+        rows = []
         for b in np.flatnonzero(np.diff(bounds)):
             own = [words[i].encode() for i in order[bounds[b] : bounds[b + 1]]]
             sizes = np.fromiter(map(len, own), "<u4", len(own))
-            rows.append((block, int(b), None, None, _pack(len(own).to_bytes(4, "little") + sizes.tobytes() + b"".join(own))))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+            rows.append((block, int(b), _pack(len(own).to_bytes(4, "little") + sizes.tobytes() + b"".join(own))))
+        columns = list(zip(*rows)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary()))], names=["block", "bucket", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(source.value)
-        number, ids, lengths, codes, table, held = 0, [], [], array("I"), {}, 0
+        digest, ids, lengths, codes, table, held = hashlib.md5(), [], [], array("I"), {}, 0
         for texts, other in text_slices(batches, "doc_id"):
             for text, doc in zip(texts, other["doc_id"], strict=True):
-                size = len(text.encode())
-                if held and held + size > block_bytes:
-                    yield close(number, ids, lengths, codes, table)
-                    number, ids, lengths, codes, table, held = number + 1, [], [], array("I"), {}, 0
+                raw = text.encode()
+                if held and held + len(raw) > block_bytes:
+                    yield close(digest, ids, lengths, codes, table)
+                    digest, ids, lengths, codes, table, held = hashlib.md5(), [], [], array("I"), {}, 0
+                digest.update(f"{doc} {len(raw)} ".encode() + raw)
                 words = v.words(text)
                 put = table.setdefault
                 codes.extend([put(w, len(table)) for w in words])
                 ids.append(doc)
                 lengths.append(len(words))
-                held += size
+                held += len(raw)
         if ids:
-            yield close(number, ids, lengths, codes, table)
+            yield close(digest, ids, lengths, codes, table)
 
     return run
 
@@ -182,26 +190,30 @@ def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
     docs: list[int | None] = []
     lengths_out: list[np.ndarray] = []
     values: list[np.ndarray] = []
-    by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True))
+    by_bucket = sorted(dict(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True)).items())  # equal blocks have equal rows
     sizes, flat = [], []
     for _, packed in by_bucket:
         raw = zstandard.decompress(packed)
         n = int.from_bytes(raw[:4], "little")
-        sizes.append(np.frombuffer(raw, "<u4", n, 4).astype(np.int64))
+        sizes.append(np.frombuffer(raw, "<u4", n, 4).astype(np.int32))
         flat.append(np.frombuffer(raw, "<u4", -1, 4 + 4 * n))
-    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
     ids = np.concatenate(flat) if flat else np.zeros(0, "<u4")
-    first = np.cumsum(size) - size
+    first = np.cumsum(size, dtype=np.int32) - size
     for head, both in zip(left.column("head").to_pylist(), left.column("codes").to_pylist(), strict=True):
         doc, words = json.loads(zstandard.decompress(head))
         codes, order = _two(both)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))  # code -> where its ids lie
+        if len(order) != len(size):
+            raise ValueError("a block has other words than before: the input must give the same rows each time it is read")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)  # code -> where its ids lie
         at = place[codes]
         n = size[at]
-        spot = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        stop = np.cumsum(n, dtype=np.int32)
+        spot = np.repeat(first[at] - (stop - n), n)
+        spot += np.arange(len(spot), dtype=np.int32)
         values.append(ids[spot])
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(words)]).astype(np.int64)]
+        ends = np.concatenate([np.zeros(1, np.int32), stop])[np.concatenate([[0], np.cumsum(words)]).astype(np.int64)]
         docs += doc
         lengths_out.append(np.diff(ends))
     n = np.concatenate(lengths_out) if lengths_out else np.zeros(0, np.int64)
@@ -231,10 +243,10 @@ def encode(docs: DataFrame, source: str, block_bytes: int = BLOCK_BYTES, bucket_
     except Exception:
         held = 0
     buckets = int(min(max(48, held // (8 * bucket_bytes)), 1 << 20))
-    parts = written(texts.mapInArrow(split_blocks(shared, buckets, block_bytes), BLOCKS))
-    words = parts.where("bucket >= 0").select("block", "bucket", "words").repartition(buckets, "bucket")
+    # the texts are split twice, which costs less than to keep the codes in a table beside their shuffle
+    words = texts.mapInArrow(split_blocks(shared, buckets, block_bytes, True), WORDS_BY_BUCKET).repartition(buckets, "bucket")
     coded = words.groupBy("bucket").applyInArrow(encode_bucket(shared), "block string, bucket int, ids binary")
-    heads = parts.where("bucket < 0").select("block", "head", "codes")
+    heads = texts.mapInArrow(split_blocks(shared, buckets, block_bytes, False), CODES)
     return heads.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, "doc_id long, ids array<int>")
 
 
