@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontamination, jaccard_join, language_id, suffix_dedup
-from quarry.llm.common import written
+from quarry.llm.common import whole_texts, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts whose n-grams lie farther than this from every language's profile are rejected.
@@ -19,6 +19,7 @@ LEAST_LANGUAGE_SCORE = 0.05
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language; those without a letter, or like no profile, go."""
+    whole_texts(docs)
     profiles = language_id.fit(language_id.learning_rows(docs))
     found = language_id.predict(docs, profiles).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)

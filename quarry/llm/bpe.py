@@ -40,9 +40,9 @@ from quarry.llm.unicode_classes import has_disputed
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes of text in a block (a single longer text makes a block of its own).
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 #: Bytes of packed words that a bucket should hold, at most.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 
 
 class Vocabulary:

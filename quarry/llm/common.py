@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one slice of vectorised work holds (a longer single text makes a slice of its own).
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 600_000
+#: Rows of an Arrow batch: texts are long, so a batch of the default size would be many megabytes.
+BATCH_ROWS = 1000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -29,6 +31,14 @@ def work_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, its session set to batches of at most BATCH_ROWS rows on the way to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(docs.sparkSession.conf.get(name)) > BATCH_ROWS:
+        docs.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 

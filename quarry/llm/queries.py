@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.common import whole_texts
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return whole_texts(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,9 +44,9 @@ from quarry.llm.vector import mix, prefix_hashes, span_hashes
 
 SPAN, GRAM = 400, 64
 #: Windows of a text that are looked at together; a longer text is taken in parts that overlap.
-PART = 4_000_000
+PART = 1_000_000
 #: Classes of one anchor string that go to one task, at most; bytes of regions that a task gets, about.
-LARGE, BUCKET = 20_000, 6_000_000
+LARGE, BUCKET = 20_000, 2_000_000
 
 
 def regions(raw: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
