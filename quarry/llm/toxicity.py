@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, text_slices
+from quarry.llm.common import held_out, text_slices, written
 from quarry.llm.unicode_classes import LETTER
 from quarry.llm.vector import group_of, join, kinds, prefix_hashes, runs, span_hashes
 
@@ -90,27 +90,13 @@ class _Rows:
         return np.repeat(np.arange(len(which)), n), self.flat[at]
 
 
-def _telling(rows: list[np.ndarray], n_positive: int, least_docs: int, least_z: float) -> np.ndarray:
-    """Words whose share of the positive texts (the first rows) is not that of the unlabelled, beyond chance."""
-    n, m = n_positive, len(rows) - n_positive
-    every, of = np.unique(np.concatenate(rows), return_inverse=True)
-    size = np.cumsum([len(r) for r in rows[:n]])[-1] if n else 0
-    a = np.bincount(of[:size], minlength=len(every))
-    b = np.bincount(of[size:], minlength=len(every))
-    share = (a + b) / (n + m)
-    z = (a / n - b / m) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / m))
-    return every[(a + b >= least_docs) & (np.abs(z) >= least_z)]
-
-
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_docs: int = LEAST_DOCS, least_z: float = 4.0, epochs: int = 30, batch: int = 500, rate: float = 0.02, l2: float = 1e-3, seed: int = 7) -> Model:
-    """Fit the classifier; rows are arrays of word hashes."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], back_p: np.ndarray, back_u: np.ndarray, vocabulary: np.ndarray, prior: float, epochs: int = 30, batch: int = 500, rate: float = 0.02, l2: float = 1e-3, seed: int = 7) -> Model:
+    """Fit the classifier; rows are arrays of word hashes, ``back`` says which are held back for the curve."""
     empty = np.zeros(0)
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.int64), empty, 0.0, empty, empty)
     rng = np.random.default_rng(seed)
-    back_p, back_u = (np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), bool) for x in (positive, unlabelled))
-    learn = [r for r, b in zip(positive, back_p) if not b] + [r for r, b in zip(unlabelled, back_u) if not b]
-    vocabulary = _telling(learn, int((~back_p).sum()), min(least_docs, max(1, len(positive) // 4)), least_z)
+    back_p, back_u = (x if len(x) >= 50 and not x.all() else np.zeros(len(x), bool) for x in (back_p, back_u))
     p, u = _Rows(positive, vocabulary), _Rows(unlabelled, vocabulary)
     in_p, in_u = np.flatnonzero(~back_p), np.flatnonzero(~back_u)
     w, bias = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
@@ -176,11 +162,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, least_docs: int = LEAST_DOCS, least_z: float = 4.0) -> Model:
     """Learn from ``labels`` (doc_id, ``label``) and texts of ``docs`` without using their labels.
 
     The prior is the share of toxic rows among the labelled, unless it is given.
-    Word hashes of at most ``max_positive + max_unlabelled`` texts go to the driver.
+    Words are counted and screened in Spark; of at most ``max_positive + max_unlabelled``
+    texts only the words that pass go to the driver.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     toxic = known.where(F.col(label) > 0).select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -197,10 +184,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior: float |
             rows = np.split(word, np.searchsorted(who, np.arange(1, len(texts))))
             yield pa.RecordBatch.from_arrays([pa.array(other["doc_id"], pa.int64()), pa.array(other["kind"], pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "kind", "words"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, kind int, words array<long>").toPandas().sort_values("doc_id")
-    lists = [np.asarray(x, dtype=np.int64) for x in rows["words"]]
-    kind = rows["kind"].to_numpy()
-    return train([r for r, k in zip(lists, kind) if k == 1], [r for r, k in zip(lists, kind) if k == 0], prior)
+    rows = written(chosen.mapInArrow(run, "doc_id long, kind int, words array<long>").withColumn("back", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) == 4))
+    vocabulary = _telling(rows.where("not back"), least_docs, least_z)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # words of a bounded sample that pass a test
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [x.values.to_numpy()[np.isin(x.values.to_numpy(), shared.value)] for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "kind", "back", "words"])
+
+    few = rows.select("doc_id", "kind", "back", "words").mapInArrow(thin, "doc_id long, kind int, back boolean, words array<long>").toPandas().sort_values(["doc_id", "kind"])
+    lists = [np.asarray(x, dtype=np.int64) for x in few["words"]]
+    kind, back = few["kind"].to_numpy(), few["back"].to_numpy(dtype=bool)
+    return train([r for r, k in zip(lists, kind) if k == 1], [r for r, k in zip(lists, kind) if k == 0], back[kind == 1], back[kind == 0], vocabulary, prior)
+
+
+def _telling(rows: DataFrame, least_docs: int, least_z: float) -> np.ndarray:
+    """Words whose share of the positive texts is not that of the unlabelled, beyond chance: sorted hashes."""
+    sizes = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    n, m = sizes.get(1, 0), sizes.get(0, 0)
+    if not n or not m:
+        return np.zeros(0, np.int64)
+    a, b = F.col("a"), F.col("b")
+    share = (a + b) / (n + m)
+    z = (a / n - b / m) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n + 1 / m))
+    counted = rows.select("kind", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("kind") == 1).alias("a"), F.count_if(F.col("kind") == 0).alias("b"))
+    kept = counted.where((a + b >= min(least_docs, max(1, n // 4))) & (F.abs(z) >= least_z)).select("word").toPandas()
+    return np.sort(kept["word"].to_numpy(dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
