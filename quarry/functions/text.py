@@ -44,8 +44,8 @@ def problem_hash(problem: Column, gold: Column) -> Column:
 
 
 def shingles(text: Column, n: int = 5) -> Column:
-    """Distinct character n-grams; empty for shorter texts."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    """Distinct character n-grams; empty for shorter texts. One pass: a look-ahead at each character takes the n that begin there."""
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
     return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as t
 
+#: Modulus of the MinHash permutations.
+PRIME = 2**31 - 1
+#: Cells that the counts of n-grams are kept by.
+CELLS = 2**18
+
 
 def exact_dedup(rows: DataFrame, key: Column, *best: Column) -> DataFrame:
     """Rows with ``place``: 1 for the one to keep of each key, by the order ``best``."""
@@ -17,47 +26,90 @@ def keep_first(rows: DataFrame, keys: list[str], n: int, *order: Column) -> Data
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
 
 
+def _gram_hashes(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return rows.select(F.col(key).alias("id"), F.explode(t.shingles(F.col(text))).alias("g")).select("id", F.xxhash64("g").alias("g"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, similarity) of ``pairs`` whose sets ``s`` are similar enough."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
     """Pairs (a, b, similarity) whose sets of character 5-grams have a Jaccard similarity of ``threshold`` or more.
 
-    Exact, by prefix filtering: each row is joined on its rarest-by-hash n-grams, as
-    many as two similar sets can't all differ in.
+    Exact, by prefix filtering: each row is joined on its rarest n-grams, as many as
+    two similar sets can't all differ in, and only where the sizes and what follows
+    the common n-gram leave room for the overlap needed. Any order of the n-grams
+    gives the same pairs, so counts by hash cell (``CELLS`` rows at most, whatever
+    the input) say which are rare. Pass one row for each distinct text: copies
+    need no comparison. Texts under 5 characters, empty and null ones are in no pair.
     """
-    sets = rows.select(F.col(key).alias("id"), F.array_sort(F.transform(t.shingles(F.col(text)), lambda x: F.xxhash64(x))).alias("s")).where(F.size("s") > 0)
-    sets = sets.withColumn("n", F.size("s"))
-    prefix = F.expr(f"slice(s, 1, n - cast(ceil({threshold} * n) as int) + 1)")
-    keys = sets.select("id", "n", F.explode(prefix).alias("g"))
-    left, right = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-    pairs = left.join(right, "g").where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct()
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    out = pairs.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
-    return out.where(F.col("similarity") >= threshold)
+    cell = F.pmod(F.col("g"), F.lit(CELLS))
+    grams = _gram_hashes(rows, key, text)
+    counts = grams.groupBy(cell.alias("cell")).agg(F.count("*").alias("often"))
+    ranked = grams.withColumn("cell", cell).join(F.broadcast(counts), "cell")
+    sets = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("o"))
+    sets = sets.select("id", F.col("o.g").alias("s"), F.size("o").alias("n"))
+    keys = sets.select("id", "n", F.posexplode(F.expr(f"slice(s, 1, n - cast(ceil({threshold} * n) as int) + 1)")).alias("at", "g"))
+    left, right = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), "g") for x in "ab")
+    room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    close = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6
+    pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & close & room).select("a", "b").distinct()
+    return _verified(pairs, sets, threshold)
+
+
+def _coefficients(permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b, out = 42, 0, []
+    for _ in range(permutations):  # a linear congruential generator
+        a = (a * 1103515245 + 12345) % PRIME
+        b = (a * 1103515245 + 54321) % PRIME
+        out.append((a or 1, b))
+    x = np.array(out, np.uint64)
+    return x[:, :1], x[:, 1:]
+
+
+def signature(text: str, a: np.ndarray, b: np.ndarray, n: int = 5, block: int = 2048) -> np.ndarray | None:
+    """Minima of (a h + b) mod PRIME over the hashes of the distinct n-grams; None if there are none."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(points) < n:
+        return None
+    h = np.zeros(len(points) - n + 1, np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[i : len(points) - n + 1 + i]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = np.unique((h ^ (h >> np.uint64(32))) % np.uint64(PRIME))
+    least = np.full(len(a), PRIME, np.uint64)
+    for i in range(0, len(h), block):
+        least = np.minimum(least, ((a * h[i : i + block] + b) % np.uint64(PRIME)).min(axis=1))
+    return least.astype(np.int64)
 
 
 def minhash(rows: DataFrame, key: str, text: str, permutations: int = 128, bands: int = 16) -> DataFrame:
-    """(id, band, bucket) of MinHash signatures over character 5-grams, modulo 2**31 - 1."""
-    prime, a, b, coefficients = 2**31 - 1, 42, 0, []
-    for _ in range(permutations):  # a linear congruential generator
-        a = (a * 1103515245 + 12345) % prime
-        b = (a * 1103515245 + 54321) % prime
-        coefficients.append((a or 1, b))
-    # one row for each n-gram and a minimum for each permutation: compiled code, and partial minima before the shuffle
-    grams = rows.select(F.col(key).alias("id"), F.explode(t.shingles(F.col(text))).alias("g")).select("id", F.pmod(F.xxhash64("g"), F.lit(prime)).alias("h"))
-    minima = grams.groupBy("id").agg(*(F.min(F.pmod(F.lit(x) * F.col("h") + F.lit(y), F.lit(prime))).alias(f"m{i}") for i, (x, y) in enumerate(coefficients)))
-    each = permutations // bands
-    keys = [F.struct(F.lit(i).alias("band"), F.xxhash64(*(F.col(f"m{i * each + j}") for j in range(each))).alias("bucket")) for i in range(bands)]
-    return minima.select("id", F.inline(F.array(*keys)))
+    """(id, band, bucket) of MinHash signatures over character 5-grams. Rows without an n-gram have none.
+
+    128 minima for every n-gram are numpy work: as columns they outgrow compiled code.
+    """
+    kind, a_b, each = rows.schema[key].dataType.simpleString(), _coefficients(permutations), permutations // bands
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(x or "", *a_b) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "m"])
+
+    sketches = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(sketch, f"id {kind}, m array<bigint>").where("m is not null")
+    keys = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("m", i * each + 1, each)).alias("bucket")) for i in range(bands)]
+    return sketches.select("id", F.inline(F.array(*keys)))
 
 
 def minhash_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Pairs that share a band of MinHash and pass the exact test: all true, not all of them."""
+    """Pairs that share a band of MinHash and pass the exact test: all true, not all of them. As for ``similar_pairs``, pass distinct texts."""
     buckets = minhash(rows, key, text)
     pairs = buckets.alias("x").join(buckets.alias("y"), ["band", "bucket"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sets = rows.select(F.col(key).alias("id"), t.shingles(F.col(text)).alias("s"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    sets = rows.select(F.col(key).alias("id"), F.transform(t.shingles(F.col(text)), lambda x: F.xxhash64(x)).alias("s"))
+    return _verified(pairs, sets, threshold)
 
 
 def survivors(pairs: DataFrame, priority: DataFrame) -> DataFrame:

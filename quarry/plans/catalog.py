@@ -92,27 +92,33 @@ def row_keys(d):
     return d.documents.select("doc_id", t.light_key(F.col("text")).alias("light_key"), t.problem_hash(F.col("text"), F.col("lang")).alias("problem_hash"))
 
 
-SHORT = "(SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 5 AND 400)"
+PAIRS = f"""WITH k AS (SELECT doc_id, source, {NORM} AS norm, row_number() OVER (PARTITION BY {NORM} ORDER BY CAST(substr(source, 4) AS INT), doc_id) AS place FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(norm) - 3), lambda i: substr(norm, CAST(i AS BIGINT), 5))) AS g FROM k WHERE place = 1 AND length(norm) >= 5),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+p AS (SELECT a, b, c / (u.n + v.n - c) AS s FROM o JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE c / (u.n + v.n - c) >= 0.8)"""
 
 
-@query(f"""WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, CAST(i AS BIGINT), 5))) AS g FROM {SHORT}),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g)) AS c, len(a.g) AS x, len(b.g) AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.g), len(b.g)) >= 0.8 * greatest(len(a.g), len(b.g)))
-SELECT a, b, round(c / (x + y - c), 6) AS similarity FROM p WHERE c / (x + y - c) >= 0.8""")
+def distinct_questions(d: Tables) -> DataFrame:
+    """The rows that exact dedup keeps, with their normalized texts."""
+    kept = dedup.exact_dedup(d.documents, t.exact_key(F.col("text")), priority(), F.col("doc_id")).where("place = 1")
+    return kept.select("doc_id", t.normalize_question(F.col("text")).alias("norm"))
+
+
+@query(f"{PAIRS} SELECT a, b, round(s, 6) AS similarity FROM p")
 def near_dup_pairs(d):
-    pairs = dedup.similar_pairs(d.documents.where("length(text) between 5 and 400"), "doc_id", "text")
-    return pairs.select("a", "b", r6("similarity", "similarity"))
+    return dedup.similar_pairs(distinct_questions(d), "doc_id", "norm").select("a", "b", r6("similarity", "similarity"))
 
 
 @query()
 def near_dup_minhash(d):
-    return dedup.minhash_pairs(d.documents.where("length(text) between 5 and 4000"), "doc_id", "text").select("a", "b", r6("similarity", "similarity"))
+    return dedup.minhash_pairs(distinct_questions(d), "doc_id", "norm").select("a", "b", r6("similarity", "similarity"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, CAST(i AS BIGINT), 5))) AS g FROM {SHORT}),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g)) AS c, len(a.g) AS x, len(b.g) AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.g), len(b.g)) >= 0.8 * greatest(len(a.g), len(b.g)))
-SELECT DISTINCT CASE WHEN (CAST(substr(s.source, 4) AS INT), a) < (CAST(substr(q.source, 4) AS INT), b) THEN b ELSE a END AS doc_id FROM p JOIN documents s ON s.doc_id = a JOIN documents q ON q.doc_id = b WHERE c / (x + y - c) >= 0.8""")
+@query(f"""{PAIRS}
+SELECT DISTINCT CASE WHEN (CAST(substr(s.source, 4) AS INT), a) < (CAST(substr(q.source, 4) AS INT), b) THEN b ELSE a END AS doc_id FROM p JOIN documents s ON s.doc_id = a JOIN documents q ON q.doc_id = b""")
 def near_dup_removed(d):
-    pairs = dedup.similar_pairs(d.documents.where("length(text) between 5 and 400"), "doc_id", "text")
+    pairs = dedup.similar_pairs(distinct_questions(d), "doc_id", "norm")
     rank = d.documents.select(F.col("doc_id").alias("id"), F.struct(priority().alias("p"), "doc_id").alias("rank"))
     return dedup.survivors(pairs, rank).select(F.col("id").alias("doc_id"))
 
