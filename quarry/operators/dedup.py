@@ -41,8 +41,8 @@ def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8)
     """Pairs (a, b, similarity) whose sets of character 5-grams have a Jaccard similarity of ``threshold`` or more.
 
     Exact, by prefix filtering: each row is joined on its rarest n-grams, as many as
-    two similar sets can't all differ in, and only where the sizes and what follows
-    the common n-gram leave room for the overlap needed. Any order of the n-grams
+    two similar sets can't all differ in; pairs go on to comparison only where sizes,
+    the number met there and what is left make the overlap needed possible. Any order of the n-grams
     gives the same pairs, so counts by hash cell (``CELLS`` rows at most, whatever
     the input) say which are rare. Pass one row for each distinct text: copies
     need no comparison. Texts under 5 characters, empty and null ones are in no pair.
@@ -52,12 +52,15 @@ def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8)
     counts = grams.groupBy(cell.alias("cell")).agg(F.count("*").alias("often"))
     ranked = grams.withColumn("cell", cell).join(F.broadcast(counts), "cell")
     sets = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("o"))
-    sets = sets.select("id", F.col("o.g").alias("s"), F.size("o").alias("n"))
-    keys = sets.select("id", "n", F.posexplode(F.expr(f"slice(s, 1, n - cast(ceil({threshold} * n) as int) + 1)")).alias("at", "g"))
-    left, right = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), "g") for x in "ab")
-    room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    sets = sets.select("id", F.col("o.g").alias("s"), F.size("o").alias("n"), F.expr(f"slice(o, 1, size(o) - cast(ceil({threshold} * size(o)) as int) + 1)").alias("first"))
+    # n-grams up to the earlier of two prefixes' last ones are all compared; of the rest, at most ``rest`` can be common
+    keys = sets.select("id", "n", (F.col("n") - F.size("first")).alias("rest"), F.element_at("first", -1).alias("last"), F.explode("first.g").alias("g"))
+    left, right = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"rest{x}"), F.col("last").alias(f"last{x}"), "g") for x in "ab")
     close = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6
-    pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & close & room).select("a", "b").distinct()
+    met = left.join(right, "g").where((F.col("a") < F.col("b")) & close)
+    met = met.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.when(F.col("lasta") <= F.col("lastb"), F.col("resta")).otherwise(F.col("restb")).alias("rest"))
+    shared = met.groupBy("a", "b", "n", "rest").agg(F.count("*").alias("k"))
+    pairs = shared.where(F.col("k") + F.col("rest") >= threshold / (1 + threshold) * F.col("n") - 1e-6).select("a", "b")
     return _verified(pairs, sets, threshold)
 
 
