@@ -11,17 +11,19 @@ more, every window repeats; copies meet there as one row, however many.
 
 Suffix arrays. Where an anchor string has several classes, one region of each is
 read, and regions are dealt out by anchor string. Each task sorts the suffixes
-that share their first SPAN bytes with another (the others can't matter) into a
-suffix array with common-prefix lengths. Its intervals of length SPAN and more
-are the repeats; a stack scan finds the tree of deeper intervals, and an interval
-whose suffixes have different bytes before them (left-extension diversity) is a
-maximal repeat. ``repeats`` returns these with all their occurrences. Bytes behind
-a region's end belong to the next region, so a repeat longer than a region comes
+that share their first SPAN bytes with another (the others can't matter; hashes
+of the SPAN bytes find them) into a suffix array with common-prefix lengths. Its
+intervals of length SPAN and more are the repeats; a stack scan finds the tree of
+deeper intervals, and an interval whose suffixes have different bytes before them
+(left-extension diversity) is a maximal repeat. ``dedup`` removes what these
+cover; ``repeats`` returns them with all their occurrences. Regions are compared
+as strings of their own: a region's start counts as nothing before it, and bytes
+behind its end belong to the next region. So a repeat longer than a region comes
 in several groups, whose spans together are the whole.
 
 Very large groups (more than ``LARGE`` classes of one anchor string) don't go to
-one task: their windows are hashed, counted by hash over all tasks, and repeated
-ones marked. The result is the same.
+one task: for ``dedup`` their windows are hashed, counted by hash over all tasks,
+and repeated ones marked. The result is the same.
 
 Cases: a null or empty text has no bytes, nothing to remove and one digest, that
 of no bytes. Texts under SPAN bytes lose nothing. Matches never cross documents.
@@ -109,23 +111,23 @@ CLASS = ["anchor", "region", "lead", "reach"]
 
 
 def _representatives(chosen: DataFrame, texts: DataFrame) -> DataFrame:
-    """The bytes of one region of each class: CLASS, before (the byte before it, -1 at a text's start), bytes."""
-    wanted = chosen.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.struct(F.col("first.start").alias("start"), *CLASS, "kin").alias("r"))
+    """The bytes of one region of each class: CLASS, kin, n, bytes."""
+    wanted = chosen.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.struct(F.col("first.start").alias("start"), *CLASS, "kin", "n").alias("r"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("r").alias("r"))  # regions of one text
     both = wanted.join(texts.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("text", "r")
-    names = [*CLASS, "kin", "before", "bytes"]
+    names = [*CLASS, "kin", "n", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = batch.column(0)[i].as_py().encode()
                 found = batch.column(1)[i].as_py()
-                rows = [(r["anchor"], r["region"], r["lead"], r["reach"], r["kin"], raw[r["start"] - 1] if r["start"] else -1, raw[r["start"] : r["start"] + r["reach"] + SPAN]) for r in found]
+                rows = [(r["anchor"], r["region"], r["lead"], r["reach"], r["kin"], r["n"], raw[r["start"] : r["start"] + r["reach"] + SPAN]) for r in found]
                 c = list(zip(*rows))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=names)
 
-    return both.mapInArrow(run, "anchor long, region long, lead int, reach int, kin long, before int, bytes binary")
+    return both.mapInArrow(run, "anchor long, region long, lead int, reach int, kin long, n long, bytes binary")
 
 
 def repeated_windows(anchor: np.ndarray, reach: np.ndarray, data: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,51 +170,74 @@ def intervals(suffixes: list[bytes], span: int = SPAN) -> tuple[list[int], list[
     return order, found
 
 
-def maximal(anchor: np.ndarray, reach: np.ndarray, before: np.ndarray, data: list[bytes], span: int = SPAN) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats among regions: length and all (region, window) of each."""
+def _diverse(suffixes: list[bytes], left: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The suffix array, and those of its intervals whose suffixes have different bytes before them, or none."""
+    order, found = intervals(suffixes, span)
+    order = np.array(order)
+    before = left[order]
+    change = np.cumsum(np.concatenate([[0], before[1:] != before[:-1]]))
+    return order, [(length, a, b) for length, a, b in found if before[a] < 0 or change[b - 1] > change[a]]
+
+
+def _trees(anchor: np.ndarray, reach: np.ndarray, data: list[bytes], span: int = SPAN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+    """For each repeated window that doesn't extend to the left: regions and windows, the suffix array, maximal intervals."""
     number, window, at, hashes = repeated_windows(anchor, reach, data, span)
     if not len(number):
-        return []
+        return
     joined = np.frombuffer(b"".join(data), np.uint8)
-    previous = np.where(window > 0, joined[np.maximum(at - 1, 0)].astype(np.int64), before[number])
+    previous = np.where(window > 0, joined[np.maximum(at - 1, 0)].astype(np.int64), -1)  # nothing before a region's start is in the region
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     low, high = np.minimum.reduceat(previous, first), np.maximum.reduceat(previous, first)
-    out = []
     ends = np.concatenate([first[1:], [len(number)]])
     for g in np.flatnonzero((low != high) | (low < 0)).tolist():  # others extend to the left
         rows = slice(first[g], ends[g])
-        who, where, left = number[rows], window[rows], previous[rows]
-        order, found = intervals([data[i][j:] for i, j in zip(who.tolist(), where.tolist())], span)
-        for length, a, b in found:
-            inside = order[a:b]
-            if len(set(left[inside].tolist())) > 1 or left[inside[0]] < 0:
-                out.append((length, [(int(who[i]), int(where[i])) for i in inside]))
+        who, where = number[rows], window[rows]
+        yield who, where, *_diverse([data[i][j:] for i, j in zip(who.tolist(), where.tolist())], previous[rows], span)
+
+
+def maximal(anchor: np.ndarray, reach: np.ndarray, times: np.ndarray, data: list[bytes], span: int = SPAN) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Maximal repeats among regions: length and all (region, window) of each. A region that stands several ``times`` repeats itself."""
+    twice = np.repeat(np.arange(len(data)), np.minimum(times, 2))
+    out = []
+    for who, where, order, found in _trees(anchor[twice], reach[twice], [data[i] for i in twice.tolist()], span):
+        who = twice[who]
+        out += [(length, sorted({(int(who[i]), int(where[i])) for i in order[a:b]})) for length, a, b in found]
     return out
 
 
-def _stretches(number: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows: region, first and last."""
-    key = np.unique(number.astype(np.int64) << 32 | window)
-    if not len(key):
-        return key, key, key
-    new = np.flatnonzero(np.concatenate([[True], np.diff(key) != 1]))
-    last = np.concatenate([new[1:], [len(key)]]).astype(np.int64) - 1
+def _stretches(number: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows, those that overlap or touch as one: region, first and last."""
     low = np.int64((1 << 32) - 1)
-    return key[new] >> 32, key[new] & low, key[last] & low
+    begin = number.astype(np.int64) << 32 | first
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate((number.astype(np.int64) << 32 | last)[order])
+    if not len(begin):
+        return begin, begin, begin
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1] + 1]))
+    until = end[np.concatenate([new[1:], [len(begin)]]) - 1]
+    return begin[new] >> 32, begin[new] & low, until & low
 
 
 MARKED = "anchor long, region long, lead int, reach int, first int, last int"
 
 
 def _arrays(group: pa.Table) -> tuple:
-    get = {c: group.column(c).to_numpy() for c in ("anchor", "region", "lead", "reach", "before")}
+    get = {c: group.column(c).to_numpy() for c in (*CLASS, "n")}
     return get, group.column("bytes").to_pylist()
 
 
 def _mark(group: pa.Table) -> pa.Table:
+    """Windows inside the maximal repeats: each suffix is covered as far as its longest interval."""
     c, data = _arrays(group)
-    number, window, _, _ = repeated_windows(c["anchor"], c["reach"], data)
-    who, first, last = _stretches(number, window)
+    held = [np.zeros((3, 0), np.int64)]
+    for who, where, order, found in _trees(c["anchor"], c["reach"], data):
+        longest = np.zeros(len(order), np.int64)
+        for length, a, b in found:
+            longest[a:b] = np.maximum(longest[a:b], length)
+        there = longest > 0
+        who, where = who[order][there], where[order][there]
+        held.append(np.stack([who, where, where + longest[there] - SPAN]))
+    who, first, last = _stretches(*np.concatenate(held, axis=1))
     return pa.table({**{n: pa.array(c[n][who]) for n in CLASS}, "first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32))})
 
 
@@ -221,8 +246,8 @@ def _marked_small(parts: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(_mark, MARKED)
 
 
-def _marked_large(parts: DataFrame) -> DataFrame:
-    """The exact way for large groups: windows counted by hash over all tasks."""
+def _windows(parts: DataFrame) -> DataFrame:
+    """Each window of the regions: CLASS, n, window, previous (the byte before it in the region, or -1), hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,10 +260,16 @@ def _marked_large(parts: DataFrame) -> DataFrame:
                 number = np.repeat(np.arange(len(data)), reach + 1)
                 window = np.arange(len(number)) - np.repeat(np.cumsum(reach + 1) - (reach + 1), reach + 1)
                 place = begin[number] + window
+                previous = np.where(window > 0, joined[np.maximum(place - 1, 0)].astype(np.int32), -1)
                 hashes = span_hashes(prefix_hashes(joined), place, place + SPAN).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[n][number]) for n in CLASS), pa.array(window.astype(np.int32)), pa.array(hashes)], names=[*CLASS, "window", "hash"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[n][number]) for n in (*CLASS, "n")), pa.array(window.astype(np.int32)), pa.array(previous.astype(np.int32)), pa.array(hashes)], names=[*CLASS, "n", "window", "previous", "hash"])
+
+    return parts.mapInArrow(run, "anchor long, region long, lead int, reach int, n long, window int, previous int, hash long")
 
-    windows = parts.mapInArrow(run, "anchor long, region long, lead int, reach int, window int, hash long")
+
+def _marked_large(parts: DataFrame) -> DataFrame:
+    """The exact way for large groups: windows counted by hash over all tasks."""
+    windows = _windows(parts)
     twice = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash")
     kept = windows.join(twice, ["anchor", "hash"], "left_semi")
     order = Window.partitionBy(*CLASS).orderBy("window")
@@ -283,7 +314,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         c, data = _arrays(group)
         rows = []
-        for length, places in maximal(c["anchor"], c["reach"], c["before"], data):
+        for length, places in maximal(c["anchor"], c["reach"], np.ones(len(data), int), data):
             name = hashlib.sha256(data[places[0][0]][places[0][1] : places[0][1] + length]).hexdigest()
             rows += [(name, length, *(c[n][i] for n in CLASS), j) for i, j in places]
         columns = list(zip(*rows)) or [()] * 7

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -134,6 +135,18 @@ def test_maximal_repeats(docs, texts):
         assert hashlib.sha256(found.pop()).hexdigest() == name
 
 
+def test_spans_come_from_maximal_repeats(monkeypatch):
+    rows = [f"{c}{'0123456789' * 5}" for c in "abc"]
+    data = [x.encode() for x in rows]
+    table = pa.table({"anchor": [1] * 3, "region": [1, 2, 3], "lead": pa.array([0] * 3, pa.int32()), "reach": pa.array([1] * 3, pa.int32()), "n": [1] * 3, "bytes": data})
+    monkeypatch.setattr(suffix_dedup, "SPAN", 50)
+    monkeypatch.setattr(suffix_dedup.repeated_windows, "__defaults__", (50,))
+    monkeypatch.setattr(suffix_dedup._trees, "__defaults__", (50,))
+    assert suffix_dedup._mark(table).select(["first", "last"]).to_pylist() == [{"first": 1, "last": 1}] * 3
+    monkeypatch.setattr(suffix_dedup, "intervals", lambda *_: ([0, 1, 2], []))
+    assert not suffix_dedup._mark(table).num_rows
+
+
 def test_decontamination(spark, docs, texts, none):
     items = [(1, " ".join(texts[50].split()[60:120]).upper()), (2, texts[20]), (3, "nowhere to be found in any of these"), (4, None), (5, "One, two!"), (6, ""), (None, "one two")]
     frame = spark.createDataFrame(items, "item_id long, text string")
