@@ -23,7 +23,8 @@ in several groups, whose spans together are the whole.
 
 Very large groups (more than ``LARGE`` classes of one anchor string) don't go to
 one task: for ``dedup`` their windows are hashed, counted by hash over all tasks,
-and repeated ones marked. The result is the same.
+and repeated ones marked; for ``repeats`` each repeated window's suffixes go to a
+task. The results are the same.
 
 Cases: a null or empty text has no bytes, nothing to remove and one digest, that
 of no bytes. Texts under SPAN bytes lose nothing. Matches never cross documents.
@@ -277,18 +278,61 @@ def _marked_large(parts: DataFrame) -> DataFrame:
     return runs.groupBy(*CLASS, "stretch").agg(F.min("window").alias("first"), F.max("window").alias("last")).select(*CLASS, "first", "last")
 
 
+GROUPS = "group string, length int, anchor long, region long, lead int, reach int, window int"
+
+
+def _grouped(rows: list[tuple]) -> pa.Table:
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.table([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 7, types)], names=["group", "length", *CLASS, "window"])
+
+
+def _groups_small(parts: DataFrame, buckets: int) -> DataFrame:
+    def run(group: pa.Table) -> pa.Table:
+        c, data = _arrays(group)
+        rows = []
+        for length, places in maximal(c["anchor"], c["reach"], c["n"], data):
+            name = hashlib.sha256(data[places[0][0]][places[0][1] : places[0][1] + length]).hexdigest()
+            rows += [(name, length, *(c[n][i] for n in CLASS), j) for i, j in places]
+        return _grouped(rows)
+
+    return parts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, GROUPS)
+
+
+def _groups_large(parts: DataFrame) -> DataFrame:
+    """Large groups go to tasks by repeated window, each with the suffixes that begin with it."""
+    windows = _windows(parts)
+    told = windows.groupBy("anchor", "hash").agg(F.sum("n").alias("times"), F.min("previous").alias("low"), F.max("previous").alias("high"))
+    starts = windows.join(told.where("times > 1 and (low < 0 or low < high)").select("anchor", "hash"), ["anchor", "hash"], "left_semi")
+    suffixes = starts.join(parts.select(*CLASS, "bytes"), CLASS).withColumn("bytes", F.expr("substring(bytes, window + 1)"))
+
+    def run(group: pa.Table) -> pa.Table:
+        c, data = _arrays(group)
+        window, previous = group.column("window").to_numpy(), group.column("previous").to_numpy()
+        twice = np.repeat(np.arange(len(data)), np.minimum(c["n"], 2))
+        order, found = _diverse([data[i] for i in twice.tolist()], previous[twice])
+        rows = []
+        for length, a, b in found:
+            inside = np.unique(twice[order[a:b]]).tolist()
+            name = hashlib.sha256(data[inside[0]][:length]).hexdigest()
+            rows += [(name, length, *(c[n][i] for n in CLASS), window[i]) for i in inside]
+        return _grouped(rows)
+
+    return suffixes.groupBy("anchor", "hash").applyInArrow(run, GROUPS)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"))
 
 
-def _compared(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Occurrences; classes with how often they stand and how many their anchor string has; regions to compare; buckets."""
+def _compared(texts: DataFrame, alone: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Occurrences; classes with how often they stand and how many their anchor string has; regions to compare
+    (with those that meet copies of themselves only, if ``alone``); buckets."""
     every = written(occurrences(texts))
     classes = every.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("first"))
     classes = classes.withColumn("kin", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1 or kin > 1")
     classes = written(classes)
-    parts = written(_representatives(classes.where("kin > 1"), texts))
+    parts = written(_representatives(classes if alone else classes.where("kin > 1"), texts))
     size = parts.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     return every, classes, parts, max(12, -(-size // BUCKET))
 
@@ -307,24 +351,14 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Maximal repeats between different regions: group, length, doc_id, start; all occurrences of each."""
+    """Maximal repeats of regions: group, length, doc_id, start; all occurrences of each, exact copies included."""
     texts = _keyed(docs)
-    every, _, parts, buckets = _compared(texts)
-
-    def run(group: pa.Table) -> pa.Table:
-        c, data = _arrays(group)
-        rows = []
-        for length, places in maximal(c["anchor"], c["reach"], np.ones(len(data), int), data):
-            name = hashlib.sha256(data[places[0][0]][places[0][1] : places[0][1] + length]).hexdigest()
-            rows += [(name, length, *(c[n][i] for n in CLASS), j) for i, j in places]
-        columns = list(zip(*rows)) or [()] * 7
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.table([pa.array(x, t) for x, t in zip(columns, types)], names=["group", "length", *CLASS, "window"])
-
-    dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    groups = dealt.groupBy("bucket").applyInArrow(run, "group string, length int, anchor long, region long, lead int, reach int, window int")
-    ids = texts.select("doc_id", "k1", "k2").distinct()
-    return groups.join(every, CLASS).join(ids, ["k1", "k2"]).select("group", "length", "doc_id", (F.col("start") + F.col("window")).alias("start")).distinct()
+    every, _, parts, buckets = _compared(texts, alone=True)
+    groups = _groups_small(parts.where(F.col("kin") <= LARGE), buckets)
+    if parts.where(F.col("kin") > LARGE).head(1):
+        groups = groups.unionByName(_groups_large(parts.where(F.col("kin") > LARGE)))
+    ids = texts.select("doc_id", "k1", "k2")
+    return groups.join(every.distinct(), CLASS).join(ids, ["k1", "k2"]).select("group", "length", "doc_id", (F.col("start") + F.col("window")).alias("start"))
 
 
 def _cut(raw: bytes, found: list | None) -> tuple[bytes, int, int]:

@@ -135,6 +135,38 @@ def test_maximal_repeats(docs, texts):
         assert hashlib.sha256(found.pop()).hexdigest() == name
 
 
+def repeated_spans(raws, span):
+    """Places of each string of ``span`` bytes that stands twice at least."""
+    places = {}
+    for d, r in enumerate(raws):
+        for i in range(len(r) - span + 1):
+            places.setdefault(r[i : i + span], []).append((d, i))
+    return {k: v for k, v in places.items() if len(v) > 1}
+
+
+@pytest.mark.parametrize("large", [20_000, 0])
+def test_no_repeat_is_missing(spark, docs, texts, monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    rng = random.Random(4)
+    alone = ["".join(rng.choice("klmno pqrst") for _ in range(1500)) for _ in range(3)]
+    copies = [alone[0]] * 3 + [alone[1]] * 2 + ["x" + alone[2], "x" + alone[2], "y" + alone[2] + "z"]
+    raws = [(t or "").encode() for t in [*texts, *copies]]
+    more = spark.createDataFrame([(len(texts) + i, t) for i, t in enumerate(copies)], "doc_id long, text string")
+    groups = {}
+    for r in suffix_dedup.repeats(docs.select("doc_id", "text").unionByName(more)).collect():
+        groups.setdefault((r["group"], r["length"]), []).append((r["doc_id"], r["start"]))
+    span = suffix_dedup.SPAN
+    found = {}  # a string of ``span`` bytes and all places at which one group has it
+    for (_, length), places in groups.items():
+        assert len(places) == len(set(places)) > 1
+        d, s = places[0]
+        for i in range(length - span + 1):
+            found.setdefault(raws[d][s + i : s + i + span], set()).add(tuple(sorted((d, s + i) for d, s in places)))
+    want = repeated_spans(raws, span)
+    assert set(found) == set(want)
+    assert all(tuple(sorted(v)) in found[k] for k, v in want.items())
+
+
 def test_spans_come_from_maximal_repeats(monkeypatch):
     rows = [f"{c}{'0123456789' * 5}" for c in "abc"]
     data = [x.encode() for x in rows]
