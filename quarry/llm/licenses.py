@@ -1,8 +1,11 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are the lines of a text. Those that hold a cue (a stem without which
-no family is ever predicted) are scored by a multinomial logistic regression over
-the presence of words and word pairs: licence families, and ``unknown``. The
+Paragraphs are the lines of a text, and its blocks: lines up to a blank one,
+joined, so that a notice wrapped over several lines is seen whole. They are
+scored by a multinomial logistic regression over the presence of words and word
+pairs: licence families, and ``unknown``. Paragraphs without one of the model's
+``telling`` words aren't scored: its other words, all together, can't raise any
+family above unknown. The
 model is trained when the operator is set up, from the templates below: copies
 with words dropped, inserted and cut, and, for the unknown class, texts that use
 the same words otherwise. A temperature fitted on copies held back calibrates its
@@ -12,6 +15,9 @@ if a template of its family shares enough word pairs with the paragraph.
 On the main path there are DataFrame functions only: weights and templates are
 small tables (a fixed size, broadcast) that meet the exploded n-grams in a join.
 
+A line has a row if it holds a cue or a family is predicted, a block if a family
+is predicted that none of its lines shows as well.
+
 Cases: null and empty texts have no paragraphs, so no rows. Repeated rows of one
 doc_id with the same line at the same place count once; null ids are kept. Equal
 probabilities go to the smaller family name. Empty tables give no rows. Other
@@ -55,6 +61,8 @@ OTHERWISE = [
 ]
 #: Stems, one of which each template has.
 CUES = ("licen", "copyright", "rights reserved", "redistribut", "permission is hereby", "public domain", "free software", "spdx")
+#: Words of ordinary texts, which the prefilter passes over first.
+COMMON = ("the", "of", "and", "to", "in", "a", "that", "is", "it", "was", "on", "for", "with", "he", "are", "at", "by", "this", "be", "or")
 _WORD = "[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
 
 
@@ -69,6 +77,31 @@ def _ngrams(line: Column) -> Column:
     return F.array_distinct(F.concat(words, F.filter(pairs, lambda x: x.isNotNull())))
 
 
+def telling(model: Classifier) -> list[str]:
+    """Words one of which a text must hold for a family to reach unknown's probability.
+
+    The rest are words whose weights for a family above those for unknown, and
+    those of the pairs among them, don't add up to what the bias gives unknown.
+    """
+    at = model.families.index(UNKNOWN)
+    room = np.delete(model.bias[at] - model.bias, at)
+    above = np.delete(np.maximum(model.weights - model.weights[:, [at]], 0), at, axis=1)
+    pairs: dict[str, list[tuple[str, int]]] = {}
+    for f, i in model.number.items():
+        x, _, y = f.partition(" ")
+        pairs.setdefault(x, []).append((y or x, i))
+        if y and y != x:
+            pairs.setdefault(y, []).append((x, i))
+    stock = [f for f in model.features if " " not in f]
+    harmless: set[str] = set()
+    for w in sorted(stock, key=lambda w: (w not in COMMON, above[model.number[w]].max(), w)):
+        cost = above[[i for x, i in pairs[w] if x == w or x in harmless]].sum(axis=0)
+        if (cost <= room).all():
+            harmless.add(w)
+            room = room - cost
+    return [w for w in stock if w not in harmless]
+
+
 class Classifier:
     def __init__(self, families: list[str], features: list[str], weights: np.ndarray, bias: np.ndarray) -> None:
         self.families, self.features, self.weights, self.bias = families, features, weights, bias
@@ -124,34 +157,49 @@ def train(copies: int = 24, steps: int = 300, rate: float = 0.5, l2: float = 2e-
     return Classifier(families, features, np.round(w.astype(float) * t, 6), np.round(b.astype(float) * t, 6))
 
 
+def paragraphs(text: DataFrame) -> DataFrame:
+    """doc_id, h (the text's hash), line (from 1), lines, content: lines, and blocks of several lines, once each."""
+    lines = F.split("text", "\n", -1)
+    each = text.select("doc_id", "h", F.posexplode(lines).alias("at", "content")).select("doc_id", "h", (F.col("at") + 1).alias("line"), F.lit(1).alias("lines"), "content")
+    marked = F.transform(lines, lambda x, i: F.when(F.trim(F.regexp_replace(x, r"\s", " ")) == "", "").otherwise(F.concat((i + 1).cast("string"), F.lit("\x01"), x)))
+    blocks = text.select("doc_id", "h", F.explode(F.split(F.array_join(marked, "\n"), "\n\n+")).alias("b")).withColumn("b", F.regexp_replace("b", r"^\n+|\n+$", ""))
+    blocks = blocks.select("doc_id", "h", F.regexp_extract("b", "^([0-9]+)\x01", 1).try_cast("int").alias("line"), F.size(F.split("b", "\n")).alias("lines"), F.regexp_replace("b", "(^|\n)[0-9]+\x01", " ").alias("content"))
+    return each.unionByName(blocks.where("lines > 1"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 1), family, probability, similarity, confirmed: each line with a cue."""
+    """doc_id, line (the first, from 1), lines, family, probability, similarity, confirmed: each line or block that may state a licence."""
     spark = docs.sparkSession
     model = train()
     k = len(model.families)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
 
     def cue(c: Column) -> Column:
         low = F.lower(c)
         return functools.reduce(lambda a, b: a | b, [low.contains(x) for x in CUES])
 
-    lines = text.where(cue(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "content"))
-    lines = lines.where(cue(F.col("content"))).select("doc_id", (F.col("at") + 1).alias("line"), "content").distinct()
-    lines = lines.withColumn("grams", _ngrams(F.col("content")))
-    weights = spark.createDataFrame([(g, [float(v) for v in row]) for g, row in zip(model.features, model.weights)], "gram string, w array<double>")
-    key = ["doc_id", "line", "content"]
-    hits = lines.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
-    logits = hits.groupBy(*key).agg(*(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(k)))
-    for i in range(k):
-        logits = logits.withColumn(f"z{i}", F.col(f"z{i}") + float(model.bias[i]))
+    words = F.regexp_extract_all(F.lower(F.col("content")), F.lit(f"({_WORD})"), 1)
+    told = F.arrays_overlap(words, F.array(*map(F.lit, telling(model))))
+    key = ["doc_id", "h", "line", "lines", "content"]
+    lines = paragraphs(text).where(((F.col("lines") == 1) & cue(F.col("content"))) | told).distinct()
+    # a paragraph without an n-gram of the model has the bias, whose n-gram is the empty one
+    weights = spark.createDataFrame([("", [float(v) for v in model.bias])] + [(g, [float(v) for v in row]) for g, row in zip(model.features, model.weights)], "gram string, w array<double>")
+    hits = lines.select(*key, F.explode(F.concat(F.array(F.lit("")), _ngrams(F.col("content")))).alias("gram")).join(F.broadcast(weights), "gram")
+    logits = hits.groupBy(*key).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)))
     top = logits.withColumn("top", F.greatest(*(F.col(f"z{i}") for i in range(k))))
     total = functools.reduce(lambda a, b: a + b, [F.exp(F.col(f"z{i}") - F.col("top")) for i in range(k)])
     named = F.coalesce(*(F.when(F.col(f"z{i}") == F.col("top"), F.lit(f)) for i, f in enumerate(model.families)))
     guess = top.select(*key, (1 / total).alias("probability"), named.alias("guess"))
     guess = guess.withColumn("family", F.when(F.col("probability") >= LEAST, F.col("guess")).otherwise(F.lit(UNKNOWN)))
+    guess = guess.where((F.col("family") != UNKNOWN) | ((F.col("lines") == 1) & cue(F.col("content"))))
     templates = spark.createDataFrame([(f, [g for g in ngrams(t) if " " in g]) for f, x in TEMPLATES.items() for t in x], "family string, pairs array<string>")
     compared = guess.join(F.broadcast(templates), "family", "left")
     share = F.size(F.array_intersect(F.col("pairs"), _ngrams(F.col("content")))) / F.greatest(F.size("pairs"), F.lit(1))
     best = compared.withColumn("share", F.when(F.col("pairs").isNull(), 0.0).otherwise(share))
     best = best.groupBy(*key, "family", "probability").agg(F.max("share").alias("similarity"))
-    return best.select("doc_id", "line", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), ((F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRM)).alias("confirmed"))
+    best = best.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.round("similarity", 6) >= CONFIRM))
+    # a block says nothing new if one of its lines shows its family as well as it does
+    units = best.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "lines", "family", "probability", "similarity", "confirmed")).alias("u"))
+    new = F.filter("u", lambda x: (x["lines"] == 1) | ~F.exists("u", lambda y: (y["lines"] == 1) & (y["line"] >= x["line"]) & (y["line"] < x["line"] + x["lines"]) & (y["family"] == x["family"]) & (y["confirmed"] | ~x["confirmed"])))
+    found = units.select("doc_id", F.inline(new)).distinct()
+    return found.select("doc_id", "line", "lines", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")

@@ -256,6 +256,30 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_wrapped_and_uncued_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software, to deal in the Software\nwithout restriction."
+    mpl = "This Source Code Form is subject to the\n  terms of the Mozilla Public\nLicense, v. 2.0."
+    rows = [(1, f"A title\n\n \t\n{mit}\n\nThe end"), (2, "\n" + mpl), (3, "CC0 1.0 Universal"), (4, "Creative Commons BY-SA 4.0"), (5, "The cat sat\non the mat.")]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add((r["line"], r["lines"], r["family"], r["confirmed"]))
+    assert (4, 3, "mit", True) in got[1] and (2, 3, "mpl", True) in got[2]
+    assert {x[2] for x in got[3]} == {"cc0"} and {x[2] for x in got[4]} == {"cc-by-sa"} and 5 not in got
+
+
+def test_prefilter_drops_unknown_only():
+    model, rng = licenses.train(), random.Random(6)
+    told = set(licenses.telling(model))
+    rest = [f for f in model.features if " " not in f and f not in told]
+    at = model.families.index(licenses.UNKNOWN)
+    inside = [f for f in model.features if set(f.split()) <= set(rest)]
+    above = np.delete(np.maximum(model.weights - model.weights[:, [at]], 0), at, axis=1)
+    most = above[[model.number[f] for f in inside]].sum(axis=0) + np.delete(model.bias - model.bias[at], at)
+    assert rest and (most <= 1e-9).all()
+    for _ in range(300):
+        assert model.logits(" ".join(rng.choices(rest, k=rng.randrange(1, 30)))).argmax() == at
+
+
 def test_pipeline(spark, tmp_path, texts):
     import corpus_pipeline as p
 
