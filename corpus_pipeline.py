@@ -13,15 +13,19 @@ from quarry.llm import bpe, decontamination, jaccard_join, language_id, suffix_d
 from quarry.llm.common import whole_texts, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Texts whose n-grams lie farther than this from every language's profile are rejected.
-LEAST_LANGUAGE_SCORE = 0.05
+#: Texts whose score is below this share of their language's median learning row are like no profile, and rejected.
+LEAST_LANGUAGE_SHARE = 0.62
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language; those without a letter, or like no profile, go."""
     whole_texts(docs)
     profiles = language_id.fit(language_id.learning_rows(docs))
-    found = language_id.predict(docs, profiles).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    found = written(language_id.predict(docs, profiles).select("doc_id", "lang_pred", "score").where(F.col("lang_pred") != language_id.UNKNOWN))
+    # a median, as learning rows may hold foreign texts too; only rows found as labelled count
+    right = language_id.learning_rows(docs).select("doc_id", F.col("lang").alias("lang_pred")).distinct().join(found, ["doc_id", "lang_pred"])
+    usual = right.groupBy("lang_pred").agg(F.percentile_approx("score", 0.5).alias("usual"))
+    found = found.join(F.broadcast(usual), "lang_pred", "left").where(F.col("score") >= LEAST_LANGUAGE_SHARE * F.coalesce("usual", F.lit(0.0)))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 

@@ -280,6 +280,24 @@ def test_prefilter_drops_unknown_only():
         assert model.logits(" ".join(rng.choices(rest, k=rng.randrange(1, 30)))).argmax() == at
 
 
+def test_language_stage_rejects_foreign_texts(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    clean = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*p.COLUMNS).where("doc_id is not null and text is not null")
+    short = [(10**6 + i, r["text"][:60], r["lang"], "s", 60) for i, r in enumerate(clean.where("length(text) > 200").orderBy("doc_id").limit(60).collect())]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
+    code = "for i in range(len(xs)):\n    if xs[i] != ys[j]:\n        buf.append(np.zeros((n, k)))\n    kwargs['fn'] = lambda q: q.idx\n" * 4
+    bad = [polish, turkish, code, *("".join(rng.choice(a) for _ in range(500)) for a in ("abcdefghijklmnopqrstuvwxyz ", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))]
+    rows = short + [(2 * 10**6 + i, t, "en", "s", len(t)) for i, t in enumerate(bad)]
+    docs = clean.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r["doc_id"] for r in p.identify_language(spark, docs, "").select("doc_id").collect()}
+    lettered = {r["doc_id"] for r in clean.where("text rlike '[A-Za-z]'").select("doc_id").collect()}
+    assert lettered <= kept and {r[0] for r in short} <= kept
+    assert not {x for x in kept if x >= 2 * 10**6}
+
+
 def test_pipeline(spark, tmp_path, texts):
     import corpus_pipeline as p
 
