@@ -47,17 +47,27 @@ def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8)
     the input) say which are rare. Pass one row for each distinct text: copies
     need no comparison. Texts under 5 characters, empty and null ones are in no pair.
     """
+    return _similar(_gram_hashes(rows, key, text), F.lit(True), F.lit(True), F.col("a") < F.col("b"), threshold)
+
+
+def similar_across(rows: DataFrame, others: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
+    """Pairs (a of ``rows``, b of ``others``, similarity) as in ``similar_pairs``; pairs within one table aren't compared."""
+    grams = [_gram_hashes(x, key, text).withColumn("id", F.struct(F.lit(i).alias("side"), F.col("id").alias("key"))) for i, x in enumerate((rows, others))]
+    pairs = _similar(grams[0].unionByName(grams[1]), F.col("id.side") == 0, F.col("id.side") == 1, F.lit(True), threshold)
+    return pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), "similarity")
+
+
+def _similar(grams: DataFrame, in_a: Column, in_b: Column, meet: Column, threshold: float) -> DataFrame:
     cell = F.pmod(F.col("g"), F.lit(CELLS))
-    grams = _gram_hashes(rows, key, text)
     counts = grams.groupBy(cell.alias("cell")).agg(F.count("*").alias("often"))
     ranked = grams.withColumn("cell", cell).join(F.broadcast(counts), "cell")
     sets = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("o"))
     sets = sets.select("id", F.col("o.g").alias("s"), F.size("o").alias("n"), F.expr(f"slice(o, 1, size(o) - cast(ceil({threshold} * size(o)) as int) + 1)").alias("first"))
     # n-grams up to the earlier of two prefixes' last ones are all compared; of the rest, at most ``rest`` can be common
     keys = sets.select("id", "n", (F.col("n") - F.size("first")).alias("rest"), F.element_at("first", -1).alias("last"), F.explode("first.g").alias("g"))
-    left, right = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"rest{x}"), F.col("last").alias(f"last{x}"), "g") for x in "ab")
+    left, right = (keys.where(c).select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"rest{x}"), F.col("last").alias(f"last{x}"), "g") for x, c in (("a", in_a), ("b", in_b)))
     close = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6
-    met = left.join(right, "g").where((F.col("a") < F.col("b")) & close)
+    met = left.join(right, "g").where(meet & close)
     met = met.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.when(F.col("lasta") <= F.col("lastb"), F.col("resta")).otherwise(F.col("restb")).alias("rest"))
     shared = met.groupBy("a", "b", "n", "rest").agg(F.count("*").alias("k"))
     pairs = shared.where(F.col("k") + F.col("rest") >= threshold / (1 + threshold) * F.col("n") - 1e-6).select("a", "b")
@@ -124,3 +134,11 @@ def survivors(pairs: DataFrame, priority: DataFrame) -> DataFrame:
 def contaminated(train: DataFrame, evaluation: DataFrame, key: Column) -> DataFrame:
     """Training rows whose key is one of the evaluation rows'."""
     return train.withColumn("key", key).join(evaluation.select(key.alias("key")).distinct(), "key", "left_semi")
+
+
+def contaminated_near(train: DataFrame, evaluation: DataFrame, text: str, threshold: float = 0.8) -> DataFrame:
+    """Training rows whose normalized text is an evaluation row's, or similar to one. Each distinct text is compared once, whatever ids stand with it."""
+    key = t.exact_key(F.col(text))
+    own, other = (x.select(key.alias("key"), t.normalize_question(F.col(text)).alias("norm")).where("key is not null").dropDuplicates(["key"]) for x in (train, evaluation))
+    near = similar_across(own, other, "key", "norm", threshold).select(F.col("a").alias("key"))
+    return train.withColumn("key", key).join(other.select("key").unionByName(near).distinct(), "key", "left_semi")

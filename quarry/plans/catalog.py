@@ -128,6 +128,16 @@ def exact_contamination(d):
     return dedup.contaminated(d.documents, d.benchmark, t.exact_key(F.col("text"))).select("doc_id")
 
 
+@query(f"""WITH k AS (SELECT DISTINCT 0 AS side, {NORM} AS norm FROM documents UNION ALL SELECT DISTINCT 1, {NORM} FROM benchmark),
+g AS (SELECT DISTINCT side, norm, unnest(list_transform(range(1, length(norm) - 3), lambda i: substr(norm, CAST(i AS BIGINT), 5))) AS g FROM k WHERE length(norm) >= 5),
+n AS (SELECT side, norm, count(*) AS n FROM g GROUP BY ALL),
+o AS (SELECT x.norm AS a, y.norm AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.side = 0 AND y.side = 1 GROUP BY ALL),
+p AS (SELECT a FROM o JOIN n u ON u.norm = a AND u.side = 0 JOIN n v ON v.norm = b AND v.side = 1 WHERE c / (u.n + v.n - c) >= 0.8)
+SELECT doc_id FROM documents WHERE {NORM} IN (SELECT norm FROM k WHERE side = 1) OR {NORM} IN (SELECT a FROM p)""")
+def contamination(d):
+    return dedup.contaminated_near(d.documents, d.benchmark, "text").select("doc_id")
+
+
 @query("SELECT x.source AS a, y.source AS b, count(*) AS n FROM (SELECT DISTINCT source, md5(text) AS h FROM documents) x JOIN (SELECT DISTINCT source, md5(text) AS h FROM documents) y ON x.h = y.h AND x.source < y.source GROUP BY ALL")
 def source_disjointness(d):
     h = d.documents.select("source", F.md5("text").alias("h")).distinct()

@@ -42,3 +42,18 @@ def test_pairs(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, norm string")
     assert not dedup.similar_pairs(df, "doc_id", "norm").collect() and not dedup.minhash_pairs(df, "doc_id", "norm").collect()
+
+
+def test_contaminated_near(spark):
+    rng = random.Random(9)
+    items = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for _ in range(12)]
+    near = [x.replace(x.split()[3], "changed") for x in items[:6]]
+    half = [" ".join(x.split()[:15] + ["other"] * 15) for x in items]
+    rows = list(enumerate([*near, items[7].upper() + "!", *half, near[0], None, "", "abc"])) + [(None, near[1])]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    evaluation = spark.createDataFrame([(i, x) for i, x in enumerate([*items, None, "abc"])], "item_id long, text string")
+    kept = lambda x: "".join(c for c in (x or "").lower() if c.isalnum() or c == " ")
+    want = [d for d, x in rows if x is not None and any(kept(x) == kept(y) or grams(kept(x)) and grams(kept(y)) and len(grams(kept(x)) & grams(kept(y))) / len(grams(kept(x)) | grams(kept(y))) >= 0.8 for y in [*items, "abc"])]
+    got = [r.doc_id for r in dedup.contaminated_near(train, evaluation, "text").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 10
+    assert not dedup.contaminated_near(train, evaluation.limit(0), "text").count()
