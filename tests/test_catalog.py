@@ -34,3 +34,10 @@ def test_query(spark, duck, name):
     found = duck.sql(sql)
     assert sorted(found.columns) == sorted(df.columns)
     assert got == plain(found.fetchall(), found.columns)
+
+
+def test_histogram_has_all_problems(spark, tmp_path):
+    rows = [(1, "R")] * 40 + [(2, "R")] * 14 + [(2, "N")] + [(3, "N")] + [(4, "R")]
+    spark.createDataFrame(rows, "l_orderkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["n_correct"]: r["n"] for r in QUERIES["correct_histogram"][0](spark, str(tmp_path)).collect()}
+    assert got == {k: int(k in (0, 1, 14, 40)) for k in range(41)}
