@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and tables that results must agree with.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PUNCTUATION = r"[^\p{L}\p{N}\s\\{}^_]"
 FIGURE = (
     r"(?i)shown in (the |a )?(figure|diagram|graph|image|table|circuit|plot)"
@@ -23,11 +24,15 @@ CANONICAL_TYPES = {
     "Open-end": "open_end", "open_end": "open_end", "code": "code",
 }
 SOURCE_PRIORITY = {"OlympiadBench": 5, "PHYSICS": 4, "UGPhysics": 3, "PHYBench": 2, "SciBench": 1}
+PROSE_PATTERNS = {
+    "chain": r"^[A-Za-z_]\s*=\s*.{5,}=\s*[0-9]", "markup": r"[\\{}_^]", "two_words": r"[a-z]{4,}\s[a-z]{4,}", "sentence": r"^[A-Z][a-z]+ [a-z]",
+    "label": r"[A-Za-z]{3,}:\s*[$\\]", "line": r"\n\s*[A-Za-z]", "approx": r"\\approx\s*[-−]?[0-9]", "approximately": r"(?i)\bapproximately\s+[-−]?[0-9]",
+}
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def normalize_question(text: Column) -> Column:
-    collapsed = F.regexp_replace(F.lower(text), r"\s+", " ")
+    collapsed = F.regexp_replace(F.lower(text), f"{SPACE}+", " ")
     return F.trim(F.regexp_replace(collapsed, PUNCTUATION, ""))
 
 
@@ -36,7 +41,7 @@ def exact_key(text: Column) -> Column:
 
 
 def light_key(text: Column) -> Column:
-    return F.md5(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
+    return F.md5(F.trim(F.regexp_replace(F.lower(text), f"{SPACE}+", " ")))
 
 
 def problem_hash(problem: Column, gold: Column) -> Column:
@@ -67,14 +72,19 @@ def canonical_type(label: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.trim(label)), F.lit("unknown"))
 
 
-def filter_reason(problem: Column, gold: Column, language: Column) -> Column:
-    """The first rule that a row breaks, or null."""
+def filter_reason(problem: Column, gold: Column, language: Column, kind: Column | None = None) -> Column:
+    """The first rule that a row breaks, or null. With ``kind`` (the answer type), choices that can't be read break one too."""
+    from quarry.functions import answers
+
+    kind = F.lower(F.trim(F.coalesce(kind if kind is not None else F.lit(""), F.lit(""))))
     lang = F.lower(F.trim(F.coalesce(language, F.lit("en"))))
     return (
         F.when(~lang.isin("en", "", "nan"), "non_english_language")
         .when(F.trim(problem).rlike(EXPLAIN), "explanation_primary")
         .when(F.trim(gold).rlike(PLACEHOLDER), "placeholder_gold")
         .when(non_latin(gold), "non_latin_script_gold")
+        .when((kind == "mcq") & answers.mcq_gold(gold).isNull(), "mcq_unrecoverable")
+        .when((kind == "true_false") & answers.true_false_gold(gold).isNull(), "tf_unrecoverable")
     )
 
 
@@ -84,19 +94,12 @@ def brace_balance(text: Column) -> Column:
 
 def prose_gold(text: Column) -> Column:
     """Answers that narrate: any of seven tests."""
-    tests = [
-        text.rlike(r"^[A-Za-z_]\s*=\s*.{5,}=\s*[0-9]"),
-        (F.length(text) > 60) & ~text.rlike(r"[\\{}_^]") & text.rlike(r"[a-z]{4,}\s[a-z]{4,}"),
-        text.rlike(r"^[A-Z][a-z]+ [a-z]") & (F.length(text) > 40),
-        text.rlike(r"[A-Za-z]{3,}:\s*[$\\]"),
-        text.rlike(r"\n\s*[A-Za-z]"),
-        text.rlike(r"\\approx\s*[-−]?[0-9]"),
-        text.rlike(r"(?i)\bapproximately\s+[-−]?[0-9]"),
-    ]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return F.coalesce(out, F.lit(False))
+    p, long = PROSE_PATTERNS, F.length(text)
+    plain = (long > 60) & ~text.rlike(p["markup"]) & text.rlike(p["two_words"])
+    told = plain | (text.rlike(p["sentence"]) & (long > 40))
+    for name in ("chain", "label", "line", "approx", "approximately"):
+        told = told | text.rlike(p[name])
+    return F.coalesce(told, F.lit(False))
 
 
 def strip_dollars(text: Column) -> Column:
@@ -138,3 +141,14 @@ def band(rate: Column) -> Column:
 
 def difficulty_bin(x: Column) -> Column:
     return F.when(x.isNull() | (x <= 0), "low").when(x <= 0.375, "medium").otherwise("high")
+
+
+def cut(x: Column, edges: list[float], labels: list[str], lowest: bool = False, right: bool = True) -> Column:
+    """The bin of a number: closed on the right, or on the left; null outside. ``lowest``: the first edge belongs to its bin."""
+    out = F.lit(None).cast("string")
+    for low, high, label in reversed(list(zip(edges, edges[1:], labels))):
+        inside = (x > low) & (x <= high) if right else (x >= low) & (x < high)
+        if lowest and low == edges[0]:
+            inside = inside | (x == low)
+        out = F.when(inside, label).otherwise(out)
+    return out
