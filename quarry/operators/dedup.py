@@ -18,8 +18,15 @@ CELLS = 2**18
 
 
 def exact_dedup(rows: DataFrame, key: Column, *best: Column) -> DataFrame:
-    """Rows with ``place``: 1 for the one to keep of each key, by the order ``best``."""
-    return rows.withColumn("key", key).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*best)))
+    """Rows with ``kept``: true for the first of each key by the order ``best``, which must tell rows apart.
+
+    The best of a key is an aggregate and a join, so that a key with very many rows
+    is combined before the shuffle and can be split over tasks. Null keys are one key.
+    """
+    place = F.struct(*(c.alias(f"b{i}") for i, c in enumerate(best)))
+    keyed = rows.withColumn("key", key)
+    first = keyed.groupBy(F.col("key").alias("of")).agg(F.min(place).alias("first"))
+    return keyed.join(first, F.col("key").eqNullSafe(F.col("of"))).withColumn("kept", place == F.col("first")).drop("of", "first")
 
 
 def keep_first(rows: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:

@@ -39,3 +39,26 @@ def patch(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
     new = changes.select(key, *(F.col(c).alias(f"new_{c}") for c in columns), F.lit(True).alias("hit"))
     joined = rows.join(new, key, "left")
     return joined.select(*(F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def profile(rollouts: DataFrame, key: str, order: str, *firsts: str) -> DataFrame:
+    """per_problem with the values of ``firsts`` at each problem's first attempt by ``order``, and whether any was right."""
+    out = rollouts.groupBy(key).agg(F.count("*").alias("n_rollouts"), F.count_if("correct").alias("n_correct"), F.bool_or("correct").alias("solved"), *(F.min_by(c, order).alias(c) for c in firsts))
+    return out.withColumn("pass_fraction", F.col("n_correct") / F.col("n_rollouts"))
+
+
+def rates(rollouts: DataFrame, *keys: str) -> DataFrame:
+    """Rates over attempts: of all, of those not cut off (null if all were), of those judged (null if none was).
+
+    ``verdict`` is 1, 0 or -1 (not judged); ``truncated`` is a boolean.
+    """
+    right = F.count_if(F.col("verdict") == 1)
+    return rollouts.groupBy(*keys).agg(
+        F.count("*").alias("n"), (right / F.count("*")).alias("pass_rate"), F.try_divide(right, F.count_if(~F.col("truncated"))).alias("pass_rate_whole"), F.try_divide(right, F.count_if(F.col("verdict") >= 0)).alias("pass_rate_judged")
+    )
+
+
+def nearest_rank(value: Column, q: float) -> Column:
+    """The value at rank round(q (n - 1)) of a group, halves to even; the group is gathered, so it must fit a task."""
+    listed = F.array_sort(F.collect_list(value))
+    return F.get(listed, F.bround(q * (F.size(listed) - 1)).cast("int"))

@@ -39,7 +39,72 @@ def sample(rows: DataFrame, stratum: str, key: str, target: int, floor: int, see
     return rows.withColumn("place", place).join(F.broadcast(allotted), stratum).where("place <= share").drop("place", "share")
 
 
+def split_exact(rows: DataFrame, stratum: str, key: str, n_dev: int, n_test: int, seed: int = 42) -> DataFrame:
+    """Adds ``part``: ``n_dev`` and ``n_test`` rows in proportion to the strata, one of each at least.
+
+    Strata under three rows go to train; one that would be used up gives a third to
+    each. What rounding leaves over or lacks goes one by one to the largest strata,
+    again and again, while they keep a row for train, or one of their own.
+    """
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("n"))
+    every = Window.partitionBy()  # over a table with a row for each stratum
+    n = F.col("n")
+    share = lambda target: F.greatest(F.lit(1), F.bround(target * n / F.sum("n").over(every))).cast("long")
+    sizes = sizes.withColumn("dev", share(n_dev)).withColumn("test", share(n_test))
+    full = F.col("dev") + F.col("test") >= n
+    third = F.greatest(F.lit(1), F.floor(n / 3)).cast("long")
+    sizes = sizes.select(stratum, "n", *(F.when(n < 3, 0).when(full, third).otherwise(F.col(c)).alias(c) for c in ("dev", "test")))
+    for c, target in (("dev", n_dev), ("test", n_test)):
+        got = F.col(c)
+        turn = F.row_number().over(every.orderBy(F.desc(F.when(got > 0, n)), stratum)) - 1
+        sizes = sizes.withColumn("over", F.lit(target) - F.sum(c).over(every)).withColumn("turn", turn).withColumn("of", F.count_if(got > 0).over(every))
+        steps = F.greatest(F.lit(0), F.ceil((F.abs("over") - F.col("turn")) / F.greatest("of", F.lit(1))))
+        moved = F.when(F.col("over") > 0, got + F.least(steps, n - 1 - got)).otherwise(got - F.least(steps, got - 1))
+        sizes = sizes.withColumn(c, F.when(got > 0, moved).otherwise(0).cast("long"))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, F.col(key)), key))
+    placed = rows.withColumn("place", place).join(sizes.select(stratum, "dev", "test"), stratum)
+    part = F.when(F.col("place") <= F.col("dev"), "dev").when(F.col("place") <= F.col("dev") + F.col("test"), "test").otherwise("train")
+    return placed.withColumn("part", part).drop("place", "dev", "test")
+
+
+def proportional(rows: DataFrame, stratum: str, key: str, n: int, least: int = 1, seed: int = 42) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer): rounded shares of the strata, ``least`` at least, then trimmed or topped up by draw."""
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))
+    whole = F.sum("size").over(Window.partitionBy())  # over a table with a row for each stratum
+    take = sizes.select(stratum, F.greatest(F.lit(least), F.bround(n * F.col("size") / whole)).alias("take"))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, F.col(key)), key))
+    placed = rows.withColumn("place", place).join(take, stratum)
+    return placed.orderBy(F.col("place") > F.col("take"), draw(seed + 1, F.col(key)), key).limit(n).drop("place", "take")
+
+
+def balance(rows: DataFrame, pool: DataFrame, group: str, key: str, target: int, seed: int = 42) -> DataFrame:
+    """``target`` rows of each group: drawn from ``rows``, and from ``pool`` (rows with other keys) where those are too few."""
+    both = rows.withColumn("side", F.lit(0)).unionByName(pool.join(rows.select(key), key, "left_anti").withColumn("side", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("side", draw(seed, F.col(key)), key))
+    return both.withColumn("place", place).where(F.col("place") <= target).drop("place", "side")
+
+
+def head_tail(rows: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
+    """Adds ``part``: the first ``share`` of the rows in drawn order are head, the others tail.
+
+    The rows before a row are counted by the draw's first characters, a table of
+    65,536 rows at most, and then inside each such cell, so no task sorts all rows.
+    """
+    drawn = rows.withColumn("drawn", draw(seed, F.col(key))).withColumn("cell", F.substring("drawn", 1, 4))
+    cells = drawn.groupBy("cell").agg(F.count("*").alias("held"))
+    before = cells.withColumn("before", F.sum("held").over(Window.orderBy("cell")) - F.col("held")).withColumn("whole", F.sum("held").over(Window.partitionBy())).drop("held")
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("drawn", key)) + F.col("before")
+    return drawn.join(F.broadcast(before), "cell").withColumn("part", F.when(place <= F.floor(F.col("whole") * share), "head").otherwise("tail")).drop("drawn", "cell", "before", "whole")
+
+
 def interleave(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """The first row of each group, then the second of each, and so on: adds ``position``."""
+    """The first row of each group, then the second of each, and so on: adds ``position``.
+
+    A row's position follows from the sizes of all groups (one row, an entry for each
+    group) and its turn in its own, so rows are never sorted in one task.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct(F.col(group).alias("g"), "n")).alias("sizes"))
     turn = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    return rows.withColumn("turn", turn).withColumn("position", F.row_number().over(Window.orderBy("turn", group)))
+    placed = rows.withColumn("turn", turn).crossJoin(F.broadcast(sizes))
+    earlier = F.expr(f"aggregate(sizes, 0L, (sum_, one_) -> sum_ + least(one_.n, turn - 1) + if(one_.n >= turn and one_.g < `{group}`, 1L, 0L))")
+    return placed.withColumn("position", earlier + 1).drop("sizes")

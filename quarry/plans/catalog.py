@@ -44,7 +44,8 @@ def r6(c, name: str):
 def priority():
     return F.substring("source", 4, 9).cast("int")
 
-NORM = r"trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^\p{L}\p{N}\s\\{}^_]', '', 'g'))"
+COLLAPSED = f"regexp_replace(lower(text), '{t.SPACE}+', ' ', 'g')"
+NORM = rf"trim(regexp_replace({COLLAPSED}, '[^\p{{L}}\p{{N}}\s\\{{}}^_]', '', 'g'))"
 ATTEMPTS = "(SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rollout, value > 50 AS correct, value, event_id FROM events)"
 PER = f"(SELECT user_id, count(*) AS n, count(*) FILTER (WHERE correct) AS c FROM {ATTEMPTS} GROUP BY user_id)"
 BULK = "(SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY l_orderkey)"
@@ -68,26 +69,26 @@ def per_order(d: Tables) -> DataFrame:
 
 @query(f"SELECT doc_id, source, row_number() OVER (PARTITION BY sha256({NORM}) ORDER BY CAST(substr(source, 4) AS INT), doc_id) = 1 AS kept FROM documents")
 def exact_dedup(d):
-    return dedup.exact_dedup(d.documents, t.exact_key(F.col("text")), priority(), F.col("doc_id")).select("doc_id", "source", (F.col("place") == 1).alias("kept"))
+    return dedup.exact_dedup(d.documents, t.exact_key(F.col("text")), priority(), F.col("doc_id")).select("doc_id", "source", "kept")
 
 
 @query(f"""WITH k AS (SELECT doc_id, source, {NORM} AS norm, row_number() OVER (PARTITION BY {NORM} ORDER BY CAST(substr(source, 4) AS INT), doc_id) AS p FROM documents)
 SELECT a.source AS kept_source, b.source AS removed_source, count(*) AS n FROM k a JOIN k b ON a.norm = b.norm AND a.p = 1 AND b.p > 1 GROUP BY ALL""")
 def source_pair_overlap(d):
-    k = dedup.exact_dedup(d.documents, t.exact_key(F.col("text")), priority(), F.col("doc_id")).select("key", "source", "place")
-    first = k.where("place = 1").select("key", F.col("source").alias("kept_source"))
-    return k.where("place > 1").join(first, "key").groupBy("kept_source", F.col("source").alias("removed_source")).agg(F.count("*").alias("n"))
+    k = dedup.exact_dedup(d.documents, t.exact_key(F.col("text")), priority(), F.col("doc_id")).select("key", "source", "kept")
+    first = k.where("kept").select("key", F.col("source").alias("kept_source"))
+    return k.where("not kept").join(first, "key").groupBy("kept_source", F.col("source").alias("removed_source")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH k AS (SELECT doc_id, source, lang, text, n_chars, row_number() OVER (PARTITION BY {NORM} ORDER BY CAST(substr(source, 4) AS INT), doc_id) AS p FROM documents)
 SELECT source, count(*) AS n_input, count(*) FILTER (WHERE p = 1) AS n_exact, count(*) FILTER (WHERE p = 1 AND lang = 'en') AS n_english, count(*) FILTER (WHERE p = 1 AND lang = 'en' AND n_chars >= 200) AS n_kept FROM k GROUP BY source""")
 def curation_funnel(d):
     k = dedup.exact_dedup(d.documents, t.exact_key(F.col("text")), priority(), F.col("doc_id"))
-    one, en = F.col("place") == 1, F.col("lang") == "en"
+    one, en = F.col("kept"), F.col("lang") == "en"
     return k.groupBy("source").agg(F.count("*").alias("n_input"), F.count_if(one).alias("n_exact"), F.count_if(one & en).alias("n_english"), F.count_if(one & en & (F.col("n_chars") >= 200)).alias("n_kept"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS light_key, substr(md5(coalesce(text, '') || '|||' || coalesce(lang, '')), 1, 16) AS problem_hash FROM documents")
+@query(f"SELECT doc_id, md5(trim({COLLAPSED})) AS light_key, substr(md5(coalesce(text, '') || '|||' || coalesce(lang, '')), 1, 16) AS problem_hash FROM documents")
 def row_keys(d):
     return d.documents.select("doc_id", t.light_key(F.col("text")).alias("light_key"), t.problem_hash(F.col("text"), F.col("lang")).alias("problem_hash"))
 
@@ -101,7 +102,7 @@ p AS (SELECT a, b, c / (u.n + v.n - c) AS s FROM o JOIN n u ON u.doc_id = a JOIN
 
 def distinct_questions(d: Tables) -> DataFrame:
     """The rows that exact dedup keeps, with their normalized texts."""
-    kept = dedup.exact_dedup(d.documents, t.exact_key(F.col("text")), priority(), F.col("doc_id")).where("place = 1")
+    kept = dedup.exact_dedup(d.documents, t.exact_key(F.col("text")), priority(), F.col("doc_id")).where("kept")
     return kept.select("doc_id", t.normalize_question(F.col("text")).alias("norm"))
 
 
@@ -335,7 +336,10 @@ def stratified_split(d):
     return strata.split(d.part.select("p_partkey", "p_brand"), "p_brand", "p_partkey", 0.1, 0.1)
 
 
-@query()
+@query("""WITH s AS (SELECT p_brand, count(*) AS n, least(3, count(*)) AS base FROM part GROUP BY p_brand), w AS (SELECT *, greatest(150 - sum(base) OVER (), 0) AS room, greatest(sum(n - base) OVER (), 1) AS rooms FROM s),
+x AS (SELECT *, least(n - base, floor(room * (n - base) / rooms)) AS extra FROM w), y AS (SELECT *, room - sum(extra) OVER () AS over_, row_number() OVER (ORDER BY n - base - extra DESC, p_brand) AS turn FROM x),
+z AS (SELECT p_brand, base + extra + CASE WHEN turn <= over_ AND n > base + extra THEN 1 ELSE 0 END AS share FROM y)
+SELECT p_partkey, p_brand FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5('42|' || p_partkey), p_partkey) AS i FROM part) JOIN z USING (p_brand) WHERE i <= share""")
 def floor_sample(d):
     return strata.sample(d.part.select("p_partkey", "p_brand"), "p_brand", "p_partkey", 150, 3)
 
@@ -352,8 +356,8 @@ def round_robin(d):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents QUALIFY ordinal >= 100 AND ordinal < 150")
 def shard_slice(d):
-    place = F.row_number().over(Window.orderBy("doc_id")) - 1
-    return d.documents.select("doc_id", place.alias("ordinal")).where("ordinal >= 100 and ordinal < 150")
+    few = d.documents.select("doc_id").orderBy("doc_id").offset(100).limit(50)
+    return few.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) + 99).alias("ordinal"))
 
 
 # ---- prompts and nested rows
@@ -422,3 +426,6 @@ def source_advice(d):
 def top_languages(d):
     g = d.documents.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), r6(F.avg("n_chars"), "mean_chars"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
     return g.orderBy(F.desc("n"), "lang").limit(10)
+
+
+from quarry.plans import more  # noqa: E402, F401  its queries register themselves
