@@ -4,8 +4,8 @@ Each tree hashes a vector to a string of 32 bits, the signs of random
 projections of the centred vector, and keeps the strings of all vectors in a
 sorted array. A query descends in every tree to the longest prefix that its
 string shares with the array; then all trees ascend together, a prefix bit at a
-time, until the matched ranges hold enough candidates. Exact distances rank the
-candidates.
+time, until the matched ranges hold enough entries of other rows, and at least k
+different candidates, or all there are. Exact distances rank the candidates.
 
 The forest is an index table of shards: every vector is in one shard, which
 holds its vectors and the sorted arrays of all trees. Queries come in blocks of a
@@ -15,8 +15,8 @@ recall then doesn't fall as the table grows.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite parts, or
 whose length isn't the most frequent one (the smallest such, on a tie), take no
-part; nor do null ids. A query's own row is no candidate; rows that repeat an id
-count once. Ties go to the smaller vec_id. Fewer candidates than k give fewer rows;
+part; nor do null ids. A query's own row is no candidate; of rows that repeat an id
+the smallest vector counts. Ties go to the smaller vec_id. Fewer candidates than k give fewer rows;
 empty tables give none. Other columns are ignored.
 """
 
@@ -57,7 +57,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (doubles) of the rows that take part."""
     v = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.where((F.size("vector") > 0) & F.coalesce(sound, F.lit(False)) & F.exists("vector", lambda x: x != 0)).dropDuplicates(["vec_id"])
+    return v.where((F.size("vector") > 0) & F.coalesce(sound, F.lit(False)) & F.exists("vector", lambda x: x != 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def build(vectors: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
@@ -100,18 +100,24 @@ def search_shard(ids: np.ndarray, x: np.ndarray, keys: np.ndarray, ranks: np.nda
             first = hashed[t].astype(np.uint64) & ~cover
             low[length, t] = np.searchsorted(keys[t], first.astype(np.uint32), side="left")
             high[length, t] = np.searchsorted(keys[t], (first | cover).astype(np.uint32), side="right")
-    # descend: the longest prefix with a match in some tree; ascend together until enough entries match
-    found = (high - low).sum(axis=1)
-    level = np.where(found[::-1] >= min(wanted, n * TREES), 1, 0).argmax(axis=0)
+    # descend: the longest prefix with a match in some tree; ascend together until enough entries of other rows match
+    own = np.isin(qid, ids)  # a query's own string is a match at every length
+    found = (high - low).sum(axis=1) - TREES * own
+    level = np.where(found[::-1] >= np.minimum(wanted, (n - own) * TREES), 1, 0).argmax(axis=0)
     level = BITS - level
     norms = (x * x).sum(axis=1)
     for i in range(len(qid)):
-        a, b = low[level[i], :, i], high[level[i], :, i]
-        seen = np.zeros(n, bool)
-        for t in range(TREES):
-            seen[ranks[t, a[t] : b[t]]] = True
-        at = np.flatnonzero(seen)
-        at = at[ids[at] != qid[i]]
+        at, length = np.zeros(0, np.int64), int(level[i])
+        while True:
+            a, b = low[length, :, i], high[length, :, i]
+            seen = np.zeros(n, bool)
+            for t in range(TREES):
+                seen[ranks[t, a[t] : b[t]]] = True
+            at = np.flatnonzero(seen)
+            at = at[ids[at] != qid[i]]
+            if len(at) >= min(k, n - own[i]) or not length:  # at length 0 all rows match
+                break
+            length -= 1
         if len(at) > 4 * k:  # a cheap form of the distance leaves few for the exact one
             rough = norms[at] - 2 * (x[at] @ q[i])
             cut = np.partition(rough, 2 * k)[2 * k]
