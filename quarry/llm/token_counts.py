@@ -17,9 +17,13 @@ cleared and built anew, so that its memory is bounded.
 Texts are cut into chunks of equal length, and one vectorised step moves all
 chunks of a slice by a byte. A chunk's map from entry state to exit state and
 count is constant behind its first place between words; only the part before
-(the head) depends on the entry. A scan composes the maps: it hands each exit
-state to the next chunk and runs the heads, again for as long as chunks without
-any such place hand on states.
+(the head) depends on the entry. Chunks inside a long word have no such place, so
+their maps are tabulated: for the entry states that neighbours' exits propose, all
+chunks at once, until no chunk's exit is a new entry of the next one. Equal chunks
+share a map. A parallel prefix scan then composes the maps by doubling: after k
+steps it knows each chunk's state as far as 2**k chunks behind a known one. Few
+entries need tabulating, as states forget what lies far back, or repeat; a word
+made so that they do neither takes a round for each chunk.
 
 Nulls: a null text counts as empty and has no tokens; a null doc_id stays null.
 Repeated rows are kept; empty tables give empty results; other columns are
@@ -138,6 +142,8 @@ class Machine:
         if ended is None:
             raise ValueError("a byte is missing from the vocabulary")
         piece, emitted = ended
+        if not -64 <= emitted < 64:
+            raise ValueError("a transition emits more than its table can hold")
         if symbol >= 256:
             to = 0
         else:
@@ -206,24 +212,63 @@ class Machine:
             state = taken >> 7
             emissions[t] = (taken & 127) - 64
         leaves = state
-        # the scan: heads take the exit state of the chunk before, round by round while chunks have no settling place
         open_chunks = head == chunk
-        which = np.flatnonzero((head > 0) & ~np.concatenate([[False], open_chunks[:-1]]))
-        while len(which):
-            state = leaves[which - 1]
-            lane, length = which, head[which]
-            order = np.argsort(-length, kind="stable")
-            lane, length, state = lane[order], length[order], state[order]
-            for t in range(int(length[0])):
-                n = int(np.searchsorted(-length, -t, side="left"))  # lanes whose heads are longer than t
-                taken = self.step(state[:n], grid[t, lane[:n]], symbol_of)
-                state[:n] = taken >> 7
-                emissions[t, lane[:n]] = (taken & 127) - 64
-            carry = lane[open_chunks[lane]]
-            leaves[carry] = state[open_chunks[lane]]
-            which = np.sort(carry) + 1
-            which = which[which < lanes]
-        return emissions.T.ravel()[: len(symbols)]
+        totals = np.zeros(lanes, np.int64)
+        if open_chunks.any():
+            inside = np.flatnonzero(open_chunks)
+            leaves[inside], totals[inside] = self.scan(grid[:, inside], inside, leaves, symbol_of)
+        # heads of the other chunks take the exit state of the chunk before
+        lane = np.flatnonzero((head > 0) & ~open_chunks)
+        lane = lane[np.argsort(-head[lane], kind="stable")]
+        length, state = head[lane], leaves[lane - 1]
+        for t in range(int(length[0]) if len(lane) else 0):
+            n = int(np.searchsorted(-length, -t, side="left"))  # lanes whose heads are longer than t
+            taken = self.step(state[:n], grid[t, lane[:n]], symbol_of)
+            state[:n] = taken >> 7
+            emissions[t, lane[:n]] = (taken & 127) - 64
+        out = emissions.T.astype(np.int32)
+        out[open_chunks, -1] = totals[open_chunks]  # inside a word only the sum matters
+        return out.ravel()[: len(symbols)]
+
+    def through(self, columns: np.ndarray, state: np.ndarray, symbol_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of whole chunks, a column each, from entry states."""
+        state, total = state.astype(np.int32), np.zeros(len(state), np.int64)
+        for row in columns:
+            taken = self.step(state, row, symbol_of)
+            state = taken >> 7
+            total += (taken & 127) - 64
+        return state, total
+
+    def scan(self, columns: np.ndarray, lane: np.ndarray, leaves: np.ndarray, symbol_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of chunks inside words: ``columns`` of the chunks ``lane``; ``leaves``: exits of the others."""
+        kinds, kind = np.unique(columns.T, axis=0, return_inverse=True)
+        kind = kind.ravel().astype(np.int64)
+        first = np.concatenate([[True], lane[1:] != lane[:-1] + 1])  # of a word's chunks
+        last = np.concatenate([first[1:], [True]])
+        low = (np.int64(1) << 32) - 1
+        table = np.zeros((3, 0), np.int64)  # kind and entry as one number, sorted; exit; count
+        # proposals (chunk and entry as one number): the true entries, and state 0, whose exits propose more
+        fresh = np.arange(len(lane)) << 32 | np.where(first, leaves[lane - 1], 0)
+        proposed = fresh[:0]
+        while len(fresh):
+            proposed = np.union1d(proposed, fresh)
+            at, entry = fresh >> 32, fresh & low
+            new = np.setdiff1d(kind[at] << 32 | entry, table[0])
+            if len(new):
+                left, total = self.through(kinds[new >> 32].T, new & low, symbol_of)
+                table = np.concatenate([table, np.stack([new, left, total])], axis=1)
+                table = table[:, np.argsort(table[0], kind="stable")]
+            left = table[1, np.searchsorted(table[0], kind[at] << 32 | entry)]
+            fresh = np.setdiff1d((at + 1 << 32 | left)[~last[at]], proposed)
+        at, entry = proposed >> 32, proposed & low
+        row = np.searchsorted(table[0], kind[at] << 32 | entry)
+        ahead = np.where(last[at], np.arange(len(proposed)), np.searchsorted(proposed, at + 1 << 32 | table[1, row]))
+        true = first[at] & (entry == leaves[lane - 1][at])
+        for _ in range(int(len(lane)).bit_length()):  # maps composed by doubling
+            true[ahead[true]] = True
+            ahead = ahead[ahead]
+        row = row[true]  # one for each chunk, in order
+        return table[1, row].astype(np.int32), table[2, row]
 
 
 class Counter:
