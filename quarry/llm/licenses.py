@@ -3,14 +3,14 @@
 Paragraphs are the lines of a text, and its blocks: lines up to a blank one,
 joined, so that a notice wrapped over several lines is seen whole. They are
 scored by a multinomial logistic regression over the presence of words and word
-pairs: licence families, and ``unknown``. Paragraphs without one of the model's
-``telling`` words aren't scored: its other words, all together, can't raise any
-family above unknown. The
-model is trained when the operator is set up, from the templates below: copies
-with words dropped, inserted and cut, and, for the unknown class, texts that use
-the same words otherwise. A temperature fitted on copies held back calibrates its
-probabilities; what stays below ``LEAST`` is unknown. A prediction is confirmed
-if a template of its family shares enough word pairs with the paragraph.
+pairs: licence families, and ``unknown``. Texts and paragraphs without one of the
+model's ``telling`` words aren't scored: its other words, all together, can't raise
+any family above unknown. The model is trained when the operator is set up, from
+the templates below: copies with words dropped, inserted and cut, and, for the
+unknown class, texts that use the same words otherwise, and others. A temperature
+calibrates its probabilities; it is fitted on notices and sentences that were in no
+way trained on (``HELD``). What stays below ``LEAST`` is unknown. A prediction is
+confirmed if a template of its family shares enough word pairs with the paragraph.
 
 On the main path there are DataFrame functions only: weights and templates are
 small tables (a fixed size, broadcast) that meet the exploded n-grams in a join.
@@ -39,25 +39,88 @@ LEAST, CONFIRM = 0.5, 0.6
 
 #: Notices by which texts state their licences.
 TEMPLATES = {
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Affero General Public License v3.0.", "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "apache": [
+        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
+    "artistic": ["Licensed under the Artistic License.", "This package is free software; you may redistribute it under the terms of the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0"],
+    "boost": ["Licensed under the Boost Software License.", "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
+    "cc-by-nd": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Dedicated to the public domain under CC0 1.0 Universal."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["Copyright. All rights reserved. No part of this work may be reproduced without written permission of the publisher.", "All rights reserved."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0", "Licensed under CC0.", "Released under a CC0 license."],
+    "epl": ["Licensed under the Eclipse Public License.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "gpl": [
+        "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.", "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    ],
+    "mit": [
+        "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "mpl": [
+        "Licensed under the Mozilla Public License 2.0.", "Released under the MPL 2.0 license.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/, the license text.",
+    ],
+    "odbl": ["Licensed under the Open Database License.", "This database is made available under the Open Database License.", "SPDX-License-Identifier: ODbL-1.0"],
+    "proprietary": [
+        "Copyright. All rights reserved. No part of this work may be reproduced without written permission of the publisher.", "All rights reserved.",
+        "This copyrighted material is confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited.",
+    ],
+    "unlicense": ["Released into the public domain under the Unlicense.", "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "wtfpl": ["Licensed under the Do What The Fuck You Want To Public License, version 2.", "SPDX-License-Identifier: WTFPL"],
+    "zlib": [
+        "Licensed under the zlib License.", "Released under the zlib License.", "SPDX-License-Identifier: Zlib",
+        "This notice may not be removed or altered from any source distribution. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. It is licensed as is.",
+    ],
 }
-#: Sentences with the same words that state no licence.
+#: Sentences that state no licence, many with the same words.
 OTHERWISE = [
     "She lost her driving license in the city.", "The licensed plumber came under the house at noon.", "A public library opened its doors.",
     "He was given permission to leave the hall.", "The general asked for copies of the source.", "Apache helicopters flew over the valley.",
     "Students at MIT published a paper.", "The law on copyright was debated in public.", "All rights and duties of citizens are reserved to the courts.",
     "The version of the story was free of errors.", "Distribution of the goods began at dawn.", "They released the birds under the bridge.",
     "The fishing licence costs ten pounds.", "This work is hard and the terms are poor.", "Creative people share their domain with others.",
+    "The file that you asked for is on the desk in the other room.", "Conditions on the mountain changed within an hour of our arrival.", "Her name may be used by the family without any fee.",
+    "We met the following people at the station, each with a list of questions.", "Software engineers often work late when a program fails.", "The eclipse was visible from the whole coast last summer.",
+    "A boost in sales followed the new advertising.", "The artistic director of the theatre retired after thirty years.", "Mozilla and other companies hired developers that spring.",
+    "You can obtain tickets at the door or through the website.", "Any person over the age of twelve pays the full price.", "The foundation gave money to schools and hospitals in the region.",
+    "Modification of the old engine took them most of the winter.", "He wrote the original of the letter in pencil.", "The database of the museum holds a million photographs.",
+    "Prices include tax and are subject to change.", "The notice on the wall said that the pool was closed.", "Commons and heaths surround the village on three sides.",
+    "Attribution of the painting to her is still in doubt.", "International flights leave from the second terminal.", "In no event did the mayor take part in the race.",
+]
+#: Notices and sentences that only the temperature is fitted on.
+HELD = [
+    ("agpl", "Distributed under the terms of the GNU Affero General Public License, version 3."), ("apache", "This project is licensed under the Apache License 2.0."), ("artistic", "Available under the Artistic License."),
+    ("boost", "Use is subject to the Boost Software License."), ("bsd", "This software is distributed under the three clause BSD license."), ("cc-by", "Text is available under Creative Commons Attribution 4.0."),
+    ("cc-by-nc", "Images are CC BY-NC licensed."), ("cc-by-sa", "Content is available under CC BY-SA 4.0 unless noted."), ("cc0", "The data are released under CC0."), ("epl", "Made available under the Eclipse Public License."),
+    ("gpl", "This file is covered by the GNU General Public License."), ("isc", "Published under the ISC license."), ("lgpl", "You may link to it under the GNU Lesser General Public License."), ("mit", "The code is MIT licensed, see the MIT License."),
+    ("mpl", "Covered by the Mozilla Public License 2.0."), ("odbl", "Map data under the Open Database License."), ("proprietary", "All rights reserved by the author."), ("unlicense", "Unencumbered software in the public domain."),
+    ("zlib", "It comes with the zlib license."),
+    ("unknown", "The old man walked to the harbour every morning."), ("unknown", "A dog licence was required in the town until recently."), ("unknown", "The permission slip must be signed by a parent."),
+    ("unknown", "Public transport is free of charge on Sundays."), ("unknown", "The copyright office moved to another street."), ("unknown", "Rights of way cross the field in two places."), ("unknown", "Use the source of the river as a landmark."),
+    ("unknown", "They agreed in writing on the terms of the sale."), ("unknown", "The software failed on the first day of the trial."), ("unknown", "Version two of the plan had no conditions at all."), ("unknown", "Any later train will do as well."),
 ]
 #: Stems, one of which each template has.
 CUES = ("licen", "copyright", "rights reserved", "redistribut", "permission is hereby", "public domain", "free software", "spdx")
@@ -112,7 +175,7 @@ class Classifier:
 
 
 @functools.cache
-def train(copies: int = 24, steps: int = 300, rate: float = 0.5, l2: float = 2e-4, seed: int = 5) -> Classifier:
+def train(copies: int = 12, steps: int = 200, rate: float = 0.5, l2: float = 2e-4, seed: int = 5) -> Classifier:
     """Fit the classifier and its temperature; the data are the constants above."""
     rng = np.random.default_rng(seed)
     families = [UNKNOWN, *sorted(TEMPLATES)]
@@ -134,24 +197,24 @@ def train(copies: int = 24, steps: int = 300, rate: float = 0.5, l2: float = 2e-
     for i, (_, t) in enumerate(rows):
         x[i, [number[g] for g in ngrams(t)]] = 1
     y = np.array([k for k, _ in rows])
-    back = rng.random(len(rows)) < 0.2
     target = np.eye(len(families), dtype=np.float32)[y]
     w, b = np.zeros((len(features), len(families)), np.float32), np.zeros(len(families), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        z = x[~back] @ w + b
+        z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = x[~back].T @ (p - target[~back]) / (~back).sum() + l2 * w
+        g = x.T @ (p - target) / len(rows) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        b -= rate * (p - target[~back]).mean(axis=0)
-    z = x[back] @ w + b
+        b -= rate * (p - target).mean(axis=0)
+    z = np.stack([b + w[[number[g] for g in ngrams(t) if g in number]].sum(axis=0) for _, t in HELD])
+    held = np.array([families.index(f) for f, _ in HELD])
 
     def loss(t: float) -> float:
         s = z * t
         s = s - s.max(axis=1, keepdims=True)
-        return float(-(s[np.arange(len(s)), y[back]] - np.log(np.exp(s).sum(axis=1))).mean())
+        return float(-(s[np.arange(len(s)), held] - np.log(np.exp(s).sum(axis=1))).mean())
 
     t = min(np.geomspace(0.1, 3, 40), key=loss)
     return Classifier(families, features, np.round(w.astype(float) * t, 6), np.round(b.astype(float) * t, 6))
@@ -178,10 +241,15 @@ def scan(docs: DataFrame) -> DataFrame:
         low = F.lower(c)
         return functools.reduce(lambda a, b: a | b, [low.contains(x) for x in CUES])
 
-    words = F.regexp_extract_all(F.lower(F.col("content")), F.lit(f"({_WORD})"), 1)
-    told = F.arrays_overlap(words, F.array(*map(F.lit, telling(model))))
+    stock = telling(model)
+
+    def told(c: Column) -> Column:
+        return F.exists(F.regexp_extract_all(F.lower(c), F.lit(f"({_WORD})"), 1), lambda w: w.isin(stock))
+
+    # most texts hold neither a cue nor a telling word, so neither do their paragraphs
+    text = text.where(cue(F.col("text")) | told(F.col("text")))
     key = ["doc_id", "h", "line", "lines", "content"]
-    lines = paragraphs(text).where(((F.col("lines") == 1) & cue(F.col("content"))) | told).distinct()
+    lines = paragraphs(text).where(((F.col("lines") == 1) & cue(F.col("content"))) | told(F.col("content"))).distinct()
     # a paragraph without an n-gram of the model has the bias, whose n-gram is the empty one
     weights = spark.createDataFrame([("", [float(v) for v in model.bias])] + [(g, [float(v) for v in row]) for g, row in zip(model.features, model.weights)], "gram string, w array<double>")
     hits = lines.select(*key, F.explode(F.concat(F.array(F.lit("")), _ngrams(F.col("content")))).alias("gram")).join(F.broadcast(weights), "gram")
