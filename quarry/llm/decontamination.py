@@ -111,15 +111,19 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketch = written(sketches(items.withColumnRenamed("item_text", "text")))
-    prefixes = sketch.select("width", F.expr(f"shiftrightunsigned(hash, {64 - PREFIX})").alias("prefix")).distinct().toPandas()  # WIDTH * 2**PREFIX at most
-    table = np.zeros(1 << PREFIX, bool)
-    table[prefixes["prefix"].to_numpy(dtype=np.int64)] = True
-    widths = sorted({*prefixes["width"].tolist()} | {WIDTH})
-    shared = spark.sparkContext.broadcast((np.packbits(table), widths))
+    # the bit table is put together by the executors; the driver gets its pieces, half a megabyte in all
+    place = F.expr(f"shiftrightunsigned(hash, {64 - PREFIX}) + 1")
+    pieces = sketch.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    table = np.zeros((1 << PREFIX) // 8, np.uint8)
+    for x in pieces:
+        at = (x["piece"] - 1) * len(x["bits"])
+        table[at : at + len(x["bits"])] = np.frombuffer(x["bits"], np.uint8)
+    widths = sorted({x["width"] for x in sketch.select("width").distinct().collect()} | {WIDTH})
+    shared = spark.sparkContext.broadcast((table, widths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, widths = shared.value
-        bits = np.unpackbits(packed).view(bool)
+        bits = np.unpackbits(packed, bitorder="little").view(bool)
         for texts, other in text_slices(batches, "doc_id"):
             who, hashes, _ = sequence_hashes(texts, widths, False)
             hit = bits[(hashes >> np.uint64(64 - PREFIX)).astype(np.int64)]
