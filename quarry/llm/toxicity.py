@@ -90,6 +90,24 @@ class _Rows:
         return np.repeat(np.arange(len(which)), n), self.flat[at]
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """What a step descends on, and its gradients by the margins of positive and unlabelled rows.
+
+    The risk is the prior's share of the positives' loss as positives, and the
+    unlabelled's loss as negatives less the prior's share of the positives' loss as
+    negatives. Where that last part falls below zero it is overfitted: the step goes
+    back on it alone.
+    """
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if negative < 0:
+        return -negative, prior * _sigmoid(zp) / len(zp), -_sigmoid(zu) / len(zu)
+    return prior * np.logaddexp(0, -zp).mean() + negative, np.full(len(zp), -prior / len(zp)), _sigmoid(zu) / len(zu)
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], back_p: np.ndarray, back_u: np.ndarray, vocabulary: np.ndarray, prior: float, epochs: int = 30, batch: int = 500, rate: float = 0.02, l2: float = 1e-3, seed: int = 7) -> Model:
     """Fit the classifier; rows are arrays of word hashes, ``back`` says which are held back for the curve."""
     empty = np.zeros(0)
@@ -106,12 +124,6 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], back_p: np.n
         r, c = rows.take(which)
         return bias + np.bincount(r, w[c], minlength=len(which)), r, c
 
-    def softplus(x: np.ndarray) -> np.ndarray:
-        return np.logaddexp(0, x)
-
-    def sigmoid(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-
     for _ in range(epochs):
         rng.shuffle(in_p), rng.shuffle(in_u)
         batches = max(1, -(-len(in_u) // batch))
@@ -120,11 +132,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], back_p: np.n
                 ps = rng.choice(in_p, min(len(in_p), 32), replace=False)
             zu, ru, cu = margins(u, us)
             zp, rp, cp = margins(p, ps)
-            negative = softplus(zu).mean() - prior * softplus(zp).mean()
-            if negative >= 0:
-                gu, gp = sigmoid(zu) / len(us), prior * (sigmoid(zp) - 1 - sigmoid(zp)) / len(ps)
-            else:  # step back from the negative part
-                gu, gp = -sigmoid(zu) / len(us), prior * sigmoid(zp) / len(ps)
+            _, gp, gu = risk(zp, zu, prior)
             gradient = np.zeros(len(w) + 1)
             gradient[:-1] = np.bincount(cu, gu[ru], len(w)) + np.bincount(cp, gp[rp], len(w)) + l2 * w
             gradient[-1] = gu.sum() + gp.sum()
