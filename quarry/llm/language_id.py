@@ -107,9 +107,9 @@ def fit(docs: DataFrame, profile: int = PROFILE) -> dict[str, list[int]]:
             of = number[who]
             for i, lang in enumerate(names.tolist()):
                 held.setdefault(lang, []).append((code[of == i], counts[of == i]))
-                if sum(len(x) for x, _ in held[lang]) > 1_000_000:
+                if sum(len(x) for x, _ in held[lang]) > 300_000:
                     held[lang] = [merged(held[lang])]
-                    if len(held[lang][0][0]) > 500_000:
+                    if len(held[lang][0][0]) > 200_000:
                         yield out(lang)
         for lang in list(held):
             yield out(lang)
