@@ -41,8 +41,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 #: Bytes of text in a block (a single longer text makes a block of its own).
 BLOCK_BYTES = 4_000_000
-#: Bytes of packed words that a bucket should hold, at most.
-BUCKET_BYTES = 4_000_000
+#: Bytes of text whose words a bucket should hold, on average; buckets at least, and at most.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 48, 1 << 20
 
 
 class Vocabulary:
@@ -237,12 +237,9 @@ def encode(docs: DataFrame, source: str, block_bytes: int = BLOCK_BYTES, bucket_
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(source)  # a vocabulary's size, whatever the input's
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the number of buckets follows the input; an eighth of it is a generous guess for packed words
-    try:
-        held = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
-        held = 0
-    buckets = int(min(max(48, held // (8 * bucket_bytes)), 1 << 20))
+    # the number of buckets follows the counted size of the texts
+    held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(min(max(LEAST_BUCKETS, -(-held // bucket_bytes)), MOST_BUCKETS))
     # the texts are split twice, which costs less than to keep the codes in a table beside their shuffle
     words = texts.mapInArrow(split_blocks(shared, buckets, block_bytes, True), WORDS_BY_BUCKET).repartition(buckets, "bucket")
     coded = words.groupBy("bucket").applyInArrow(encode_bucket(shared), "block string, bucket int, ids binary")

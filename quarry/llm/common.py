@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one slice of vectorised work holds (a longer single text makes a slice of its own).
-SLICE_CHARS = 600_000
+SLICE_CHARS = 300_000
 #: Rows of an Arrow batch: texts are long, so a batch of the default size would be many megabytes.
 BATCH_ROWS = 1000
 
@@ -21,11 +22,14 @@ BATCH_ROWS = 1000
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the shared one that ``spark.checkpoint.dir`` names.
 
-    The setting is read from the session. Only where it is unset, as in tests on
-    one machine, a temporary folder stands in.
+    The setting is read from the session. Where it is unset, a temporary folder
+    stands in if all work is in one process on one machine, as in tests; else it
+    is an error, as executors would write to disks of their own.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
@@ -47,7 +51,16 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def removed(table: DataFrame) -> None:
+    """Delete what :func:`written` wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column) -> Column:
@@ -82,3 +95,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], *others: str, chars: int = SL
             texts = [x or "" for x in part.column(part.schema.get_field_index("text")).to_pylist()]
             yield texts, {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in others}
             at = to
+    pa.default_memory_pool().release_unused()  # workers are used again, by other stages
