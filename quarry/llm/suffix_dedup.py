@@ -1,19 +1,20 @@
-"""Suffix-array dedup: removes every byte that lies in a repeated 400-byte string.
+"""Suffix-array dedup: removes every byte that lies in a repeated string of ``span`` bytes, 400 unless told otherwise.
 
-Regions. Two equal strings of SPAN bytes choose the same anchor: the smallest
-hashed GRAM-byte string in them, the leftmost on ties. Windows (starts of
-SPAN-byte strings) that share an anchor form a region; equal windows are in
+Regions. Two equal strings of ``span`` bytes choose the same anchor: the smallest
+hashed string of a few dozen bytes in them, the leftmost on ties. Windows (starts
+of such long strings) that share an anchor form a region; equal windows are in
 regions of one anchor string, at one distance from it. So windows are compared
-inside groups of regions with equal anchor strings only, over the whole corpus.
+inside groups of regions with equal anchor strings only, over the whole corpus;
+regions whose anchor string stands nowhere else are dropped at once.
 
 Classes. Regions that are equal as a whole form a class. In a class of two or
 more, every window repeats; copies meet there as one row, however many.
 
 Suffix arrays. Where an anchor string has several classes, one region of each is
 read, and regions are dealt out by anchor string. Each task sorts the suffixes
-that share their first SPAN bytes with another (the others can't matter; hashes
-of the SPAN bytes find them) into a suffix array with common-prefix lengths. Its
-intervals of length SPAN and more are the repeats; a stack scan finds the tree of
+that share their first ``span`` bytes with another (the others can't matter; hashes
+of those bytes find them) into a suffix array with common-prefix lengths. Its
+intervals of that length and more are the repeats; a stack scan finds the tree of
 deeper intervals, and an interval whose suffixes have different bytes before them
 (left-extension diversity) is a maximal repeat. ``dedup`` removes what these
 cover; ``repeats`` returns them with all their occurrences. Regions are compared
@@ -27,7 +28,7 @@ and repeated ones marked; for ``repeats`` each repeated window's suffixes go to
 task. The results are the same.
 
 Cases: a null or empty text has no bytes, nothing to remove and one digest, that
-of no bytes. Texts under SPAN bytes lose nothing. Matches never cross documents.
+of no bytes. Texts under ``span`` bytes lose nothing. Matches never cross documents.
 Repeated rows are texts of their own, so they match each other. Null ids are kept.
 Empty tables give no rows; other columns are ignored, whatever their names.
 """
@@ -41,20 +42,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import written
+from quarry.llm.common import removed, written
 from quarry.llm.vector import mix, prefix_hashes, span_hashes
 
-SPAN, GRAM = 400, 64
+SPAN = 400
 #: Windows of a text that are looked at together; a longer text is taken in parts that overlap.
 PART = 1_000_000
 #: Classes of one anchor string that go to one task, at most; bytes of regions that a task gets, about.
 LARGE, BUCKET = 20_000, 2_000_000
 
 
-def regions(raw: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def regions(raw: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, ...]:
     """For each region of one text: first window, last window, anchor's place, anchor's hash, region's hash."""
-    n = len(raw) - span + 1
+    n, gram = len(raw) - span + 1, max(1, span * 4 // 25)
     if n <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     out = []
@@ -82,7 +84,7 @@ def regions(raw: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.nda
 OCCURRENCES = "k1 long, k2 long, start int, reach int, lead int, anchor long, region long"
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
+def occurrences(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """A row for each region: its text (k1, k2), start, number of windows less one, bytes before the anchor, hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
             for k1, k2, text in rows:
                 raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                a, b, p, anchor, region = regions(raw)
+                a, b, p, anchor, region = regions(raw, span)
                 if len(a):
                     held.append((np.full(len(a), k1), np.full(len(a), k2), a, b - a, p - a, anchor.view(np.int64), region.view(np.int64)))
                     size += len(a)
@@ -111,7 +113,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
 CLASS = ["anchor", "region", "lead", "reach"]
 
 
-def _representatives(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+def _representatives(chosen: DataFrame, texts: DataFrame, span: int) -> DataFrame:
     """The bytes of one region of each class: CLASS, kin, n, bytes."""
     wanted = chosen.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.struct(F.col("first.start").alias("start"), *CLASS, "kin", "n").alias("r"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("r").alias("r"))  # regions of one text
@@ -123,7 +125,7 @@ def _representatives(chosen: DataFrame, texts: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 raw = batch.column(0)[i].as_py().encode()
                 found = batch.column(1)[i].as_py()
-                rows = [(r["anchor"], r["region"], r["lead"], r["reach"], r["kin"], r["n"], raw[r["start"] : r["start"] + r["reach"] + SPAN]) for r in found]
+                rows = [(r["anchor"], r["region"], r["lead"], r["reach"], r["kin"], r["n"], raw[r["start"] : r["start"] + r["reach"] + span]) for r in found]
                 c = list(zip(*rows))
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=names)
@@ -227,27 +229,28 @@ def _arrays(group: pa.Table) -> tuple:
     return get, group.column("bytes").to_pylist()
 
 
-def _mark(group: pa.Table) -> pa.Table:
+def _mark(group: pa.Table, span: int | None = None) -> pa.Table:
     """Windows inside the maximal repeats: each suffix is covered as far as its longest interval."""
+    span = span or SPAN
     c, data = _arrays(group)
     held = [np.zeros((3, 0), np.int64)]
-    for who, where, order, found in _trees(c["anchor"], c["reach"], data):
+    for who, where, order, found in _trees(c["anchor"], c["reach"], data, span):
         longest = np.zeros(len(order), np.int64)
         for length, a, b in found:
             longest[a:b] = np.maximum(longest[a:b], length)
         there = longest > 0
         who, where = who[order][there], where[order][there]
-        held.append(np.stack([who, where, where + longest[there] - SPAN]))
+        held.append(np.stack([who, where, where + longest[there] - span]))
     who, first, last = _stretches(*np.concatenate(held, axis=1))
     return pa.table({**{n: pa.array(c[n][who]) for n in CLASS}, "first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32))})
 
 
-def _marked_small(parts: DataFrame, buckets: int) -> DataFrame:
+def _marked_small(parts: DataFrame, buckets: int, span: int) -> DataFrame:
     dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).repartition(buckets, "bucket")
-    return dealt.groupBy("bucket").applyInArrow(_mark, MARKED)
+    return dealt.groupBy("bucket").applyInArrow(lambda group: _mark(group, span), MARKED)
 
 
-def _windows(parts: DataFrame) -> DataFrame:
+def _windows(parts: DataFrame, span: int) -> DataFrame:
     """Each window of the regions: CLASS, n, window, previous (the byte before it in the region, or -1), hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,20 +260,20 @@ def _windows(parts: DataFrame) -> DataFrame:
                 c, data = _arrays(pa.table(part))
                 reach = c["reach"]
                 joined = np.frombuffer(b"".join(data), np.uint8)
-                begin = np.cumsum(reach + SPAN) - (reach + SPAN)
+                begin = np.cumsum(reach + span) - (reach + span)
                 number = np.repeat(np.arange(len(data)), reach + 1)
                 window = np.arange(len(number)) - np.repeat(np.cumsum(reach + 1) - (reach + 1), reach + 1)
                 place = begin[number] + window
                 previous = np.where(window > 0, joined[np.maximum(place - 1, 0)].astype(np.int32), -1)
-                hashes = span_hashes(prefix_hashes(joined), place, place + SPAN).view(np.int64)
+                hashes = span_hashes(prefix_hashes(joined), place, place + span).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[n][number]) for n in (*CLASS, "n")), pa.array(window.astype(np.int32)), pa.array(previous.astype(np.int32)), pa.array(hashes)], names=[*CLASS, "n", "window", "previous", "hash"])
 
     return parts.mapInArrow(run, "anchor long, region long, lead int, reach int, n long, window int, previous int, hash long")
 
 
-def _marked_large(parts: DataFrame) -> DataFrame:
+def _marked_large(parts: DataFrame, span: int) -> DataFrame:
     """The exact way for large groups: windows counted by hash over all tasks."""
-    windows = _windows(parts)
+    windows = _windows(parts, span)
     twice = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash")
     kept = windows.join(twice, ["anchor", "hash"], "left_semi")
     order = Window.partitionBy(*CLASS).orderBy("window")
@@ -286,11 +289,11 @@ def _grouped(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 7, types)], names=["group", "length", *CLASS, "window"])
 
 
-def _groups_small(parts: DataFrame, buckets: int) -> DataFrame:
+def _groups_small(parts: DataFrame, buckets: int, span: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         c, data = _arrays(group)
         rows = []
-        for length, places in maximal(c["anchor"], c["reach"], c["n"], data):
+        for length, places in maximal(c["anchor"], c["reach"], c["n"], data, span):
             name = hashlib.sha256(data[places[0][0]][places[0][1] : places[0][1] + length]).hexdigest()
             rows += [(name, length, *(c[n][i] for n in CLASS), j) for i, j in places]
         return _grouped(rows)
@@ -298,9 +301,9 @@ def _groups_small(parts: DataFrame, buckets: int) -> DataFrame:
     return parts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, GROUPS)
 
 
-def _groups_large(parts: DataFrame) -> DataFrame:
+def _groups_large(parts: DataFrame, span: int) -> DataFrame:
     """Large groups go to tasks by repeated window, each with the suffixes that begin with it."""
-    windows = _windows(parts)
+    windows = _windows(parts, span)
     told = windows.groupBy("anchor", "hash").agg(F.sum("n").alias("times"), F.min("previous").alias("low"), F.max("previous").alias("high"))
     starts = windows.join(told.where("times > 1 and (low < 0 or low < high)").select("anchor", "hash"), ["anchor", "hash"], "left_semi")
     suffixes = starts.join(parts.select(*CLASS, "bytes"), CLASS).withColumn("bytes", F.expr("substring(bytes, window + 1)"))
@@ -309,7 +312,7 @@ def _groups_large(parts: DataFrame) -> DataFrame:
         c, data = _arrays(group)
         window, previous = group.column("window").to_numpy(), group.column("previous").to_numpy()
         twice = np.repeat(np.arange(len(data)), np.minimum(c["n"], 2))
-        order, found = _diverse([data[i] for i in twice.tolist()], previous[twice])
+        order, found = _diverse([data[i] for i in twice.tolist()], previous[twice], span)
         rows = []
         for length, a, b in found:
             inside = np.unique(twice[order[a:b]]).tolist()
@@ -320,78 +323,96 @@ def _groups_large(parts: DataFrame) -> DataFrame:
     return suffixes.groupBy("anchor", "hash").applyInArrow(run, GROUPS)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, a key of both (k1, k2), and the columns ``carry`` as one struct, so that no name clashes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"))
-
-
-def _compared(texts: DataFrame, alone: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Occurrences; classes with how often they stand and how many their anchor string has; regions to compare
-    (with those that meet copies of themselves only, if ``alone``); buckets."""
-    every = written(occurrences(texts))
-    classes = every.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("first"))
-    classes = classes.withColumn("kin", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1 or kin > 1")
-    classes = written(classes)
-    parts = written(_representatives(classes if alone else classes.where("kin > 1"), texts))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("text").isNull().alias("null"), F.struct(*carry, F.lit(0).alias("_")).alias("carried"))
+    return kept.select("*", F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"))
+
+
+def _compared(texts: DataFrame, span: int, alone: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Occurrences whose anchor string stands twice at least; classes with how often they stand and how many their
+    anchor string has; regions to compare (with those that meet copies of themselves only, if ``alone``); buckets."""
+    found = written(occurrences(texts, span))
+    shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    every = written(found.join(shared.repartition("anchor"), "anchor", "left_semi"))
+    removed(found)
+    classes = written(every.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("first")))
+    kin = classes.groupBy("anchor").agg(F.count("*").alias("kin"))
+    classes = written(classes.join(kin.repartition("anchor"), "anchor").where("n > 1 or kin > 1"))
+    parts = written(_representatives(classes if alone else classes.where("kin > 1"), texts, span))
     size = parts.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     return every, classes, parts, max(12, -(-size // BUCKET))
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """k1, k2 (a text) and its repeated stretches as an array of structs (a, b) of bytes, unordered, maybe overlapping."""
     texts = _keyed(docs)
-    every, classes, parts, buckets = _compared(texts)
-    marked = _marked_small(parts.where(F.col("kin") <= LARGE), buckets)
+    every, classes, parts, buckets = _compared(texts, span)
+    marked = _marked_small(parts.where(F.col("kin") <= LARGE), buckets, span)
     if parts.where(F.col("kin") > LARGE).head(1):
-        marked = marked.unionByName(_marked_large(parts.where(F.col("kin") > LARGE)))
+        marked = marked.unionByName(_marked_large(parts.where(F.col("kin") > LARGE), span))
     whole = classes.where("n > 1").select(*CLASS, F.lit(0).alias("first"), F.col("reach").alias("last"))
-    repeated = whole.unionByName(marked.join(classes.where("n > 1"), CLASS, "left_anti"))
-    found = every.join(repeated, CLASS).select("k1", "k2", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + SPAN).alias("b")).alias("span"))
+    repeated = written(whole.unionByName(marked.join(classes.where("n > 1"), CLASS, "left_anti")))
+    found = every.join(repeated, CLASS).select("k1", "k2", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + span).alias("b")).alias("span"))
     return found.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Maximal repeats of regions: group, length, doc_id, start; all occurrences of each, exact copies included."""
     texts = _keyed(docs)
-    every, _, parts, buckets = _compared(texts, alone=True)
-    groups = _groups_small(parts.where(F.col("kin") <= LARGE), buckets)
+    every, _, parts, buckets = _compared(texts, span, alone=True)
+    groups = _groups_small(parts.where(F.col("kin") <= LARGE), buckets, span)
     if parts.where(F.col("kin") > LARGE).head(1):
-        groups = groups.unionByName(_groups_large(parts.where(F.col("kin") > LARGE)))
+        groups = groups.unionByName(_groups_large(parts.where(F.col("kin") > LARGE), span))
     ids = texts.select("doc_id", "k1", "k2")
     return groups.join(every.distinct(), CLASS).join(ids, ["k1", "k2"]).select("group", "length", "doc_id", (F.col("start") + F.col("window")).alias("start"))
 
 
-def _cut(raw: bytes, found: list | None) -> tuple[bytes, int, int]:
-    """What is left, bytes removed, and maximal removed runs."""
+def _cut(raw: bytes, found: list | None, words: int = 0) -> tuple[list[bytes], int]:
+    """The pieces that are left, and how many maximal runs were removed: with ``words``, those of over so many or of SPAN bytes."""
     runs: list[list[int]] = []
     for a, b in sorted((x["a"], x["b"]) for x in found or ()):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
+    if words:
+        runs = [(a, b) for a, b in runs if b - a >= SPAN or len(raw[a:b].split()) > words]
     kept, at = [], 0
     for a, b in runs:
         kept.append(raw[at:a])
         at = b
-    kept.append(raw[at:])
-    left = b"".join(kept)
-    return left, len(raw) - len(left), len(runs)
+    return [*kept, raw[at:]], len(runs)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (binary: what is left of the text's UTF-8 bytes), n_bytes, n_removed, n_spans."""
-    texts = _keyed(docs)
-    both = texts.join(spans(docs), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+def dedup(docs: DataFrame, span: int = SPAN, carry: tuple[str, ...] = (), words: int = 0) -> DataFrame:
+    """doc_id, kept (binary: what is left of the text's UTF-8 bytes), n_bytes, n_removed, n_spans, kept_text, carried.
+
+    With ``words``, repeated runs of ``span`` bytes and more are removed only where
+    they hold more words than that, or SPAN bytes.
+    ``kept_text`` is what is left in whole characters: one that lost a byte goes
+    whole; it is null where the text was. ``carried`` is a struct of the columns
+    that ``carry`` names.
+    """
+    texts = _keyed(docs, carry)
+    both = texts.join(spans(docs, span), ["k1", "k2"], "left").select("doc_id", "text", "null", "spans", "carried")
+    names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_text", "carried"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for text, found in zip(part.column(1), part.column(2)):
+                for text, null, found in zip(part.column(1), part.column(2), part.column(3)):
                     raw = text.as_py().encode()
-                    rows.append((*_cut(raw, found.as_py()), len(raw)))
-                kept, removed, n, size = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return both.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+                    pieces, n = _cut(raw, found.as_py(), words)
+                    left = b"".join(pieces)
+                    # a piece ends or begins inside a character only where it was cut: the input is valid UTF-8
+                    whole = None if null.as_py() else "".join(x.decode("utf-8", "ignore") for x in pieces)
+                    rows.append((left, len(raw), len(raw) - len(left), n, whole))
+                kept, size, gone, n, whole = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(whole, pa.string()), part.column(4)], names=names)
+
+    kinds = [T.LongType(), T.BinaryType(), T.LongType(), T.LongType(), T.LongType(), T.StringType(), both.schema["carried"].dataType]
+    return both.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
