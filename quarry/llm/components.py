@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import removed, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+def _told(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and their number and digest, which tell whether a round changed them."""
+    seen = Observation()
+    table = written(edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("digest")))
+    return table, (seen.get["n"], seen.get["digest"])
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,10 +20,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round joins every node's neighbours to their smallest, by aggregates and
     joins over the whole table; its edges are written to the shared folder. Nodes
-    without links are not returned. Self-links and repeated links do no harm.
+    without links are not returned. Self-links and repeated links do no harm. Raises
+    if ``rounds`` don't suffice.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = _state(edges)
+    edges, before = _told(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
         if not before[0]:
             break
@@ -30,10 +33,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct())
-        after = _state(edges)
+        last = edges
+        edges, after = _told(small.where("u <> v").distinct())
+        removed(last)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components not found in {rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -11,11 +11,17 @@ The order puts cells with many shingles first, and cells all of whose shingles
 are frequent ones last, which keeps join keys selective; it doesn't change the
 result. Sets too close to their band's edge are in the next band as well.
 
-Documents of a join key are each paired with the smallest doc_id that has it;
-pairs pass a size test, then a second parity sketch (one bit for each shingle)
-whose Hamming distance bounds the symmetric difference, then the exact test.
-Links give components. Where a key's documents are still in several components,
-its remaining pairs across them are tested too, so no link is lost.
+Equal sets are one class, and its smallest doc_id stands for it from here on, so
+copies are never paired. Documents of a join key are each paired with the
+smallest that has it; pairs pass a size test, then a second parity sketch whose
+Hamming distance bounds the symmetric difference, then the exact test. Sets too
+large for that sketch have a third one, with a bit for every two shingles or more;
+the longer of two is folded to the other's length. Links give components. Where a
+key's documents are still in several components, those outside the key's largest
+one are held against the others across components, in blocks of bounded size that
+are dealt out over tasks, and pairs that pass the tests are verified: no link is
+lost. Keys that very many documents share are found in a sample and dealt out
+apart from the others; the sample doesn't change the result.
 
 Cases: a null or empty text has an empty set and links with nothing. Fewer than
 five words are one shingle. Repeated rows and ids are kept; rows of one doc_id
@@ -32,14 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_slices, written
+from quarry.llm.common import removed, text_slices, written
 from quarry.llm.components import components
 from quarry.llm.shingles import exact_set, shingles, similar
 from quarry.llm.vector import mix
 
 PERCENT = 80
-#: Bits of the second sketch.
+#: Bits of the second sketch; a third one has half as many bits as the set has shingles, if those are more.
 BITS = 1024
+#: Documents of a key that one task holds against each other, about; keys that are dealt apart, at most.
+BLOCK, MOST_HOT = 512, 4096
 #: Frequent shingles are looked for in one document of so many; at most so many are told to the workers. They only order cells.
 SPARSE, MOST_FREQUENT, FREQUENT = 64, 50_000, 4
 
@@ -117,14 +125,27 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(top["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-SETS = "doc_id long, n long, one long, two long, sketch array<long>, keys array<long>"
+SETS = "doc_id long, n long, one long, two long, sketch array<long>, wide array<long>, keys array<long>"
+
+
+def sketches(who: np.ndarray, shingle: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the sets' shingles by hash, as 64-bit numbers; where each set's begin, and the end."""
+    starts = np.concatenate([[0], np.cumsum(bits)])
+    there = bits[who] > 0
+    who, shingle = who[there], shingle[there]
+    place = starts[who] + (shingle & (bits[who] - 1).astype(np.uint64)).astype(np.int64)
+    parity = np.bincount(place, minlength=starts[-1]) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64), starts // 64
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """A row for each document: size of its set, two 64-bit digests of the set, sketch, join keys."""
+    """A row for each document: size of its set, two 64-bit digests of the set, sketches, join keys."""
     texts = _texts(docs)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts))  # MOST_FREQUENT numbers at most
 
+    def listed(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, other in text_slices(batches, "doc_id"):
             who, shingle = shingles(texts)
@@ -135,48 +156,91 @@ def sets(docs: DataFrame) -> DataFrame:
             if len(first):
                 one[who[first]] = np.bitwise_xor.reduceat(mix(shingle), first)
                 two[who[first]] = np.add.reduceat(mix(shingle ^ np.uint64(0xA5A5)), first)
-            bits = np.bincount(who * BITS + (shingle & np.uint64(BITS - 1)).astype(np.int64), minlength=m * BITS) & 1
-            sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
+            sketch, starts = sketches(who, shingle, np.full(m, BITS))
+            wanted = 1 << np.ceil(np.log2(np.maximum(size / 2, 1))).astype(np.int64)
+            wide, ends = sketches(who, shingle, np.where(wanted > BITS, wanted, 0))
             w, key = keys(who, shingle, size, shared.value)
             order = np.argsort(w, kind="stable")
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=m))]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=m))])
             yield pa.RecordBatch.from_arrays([
                 pa.array(other["doc_id"], pa.int64()), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * (BITS // 64)), pa.array(sketch)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64))),
-            ], names=["doc_id", "n", "one", "two", "sketch", "keys"])
+                listed(starts, sketch), listed(ends, wide), listed(offsets, key[order].view(np.int64)),
+            ], names=["doc_id", "n", "one", "two", "sketch", "wide", "keys"])
 
     return texts.mapInArrow(run, SETS)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts link, by the exact test."""
+    """Pairs (a, b) whose texts link, by the exact test. Only texts in a pair are carried further than once."""
     texts = _texts(docs).where("doc_id is not null")
+    asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = written(texts.join(asked, "doc_id", "left_semi"))
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, set] = {}  # sets of the pivots that came last
+        known: dict[int, tuple] = {}  # texts and sets of the pivots that came last
         for texts, other in text_slices(batches, "a", "b", "text_b"):
             ok = []
             for x, b, y in zip(texts, other["b"], other["text_b"], strict=True):
-                if b not in known:
+                if b not in known or known[b][0] != y:
                     if len(known) > 64:
                         known.clear()
-                    known[b] = exact_set(y)
-                ok.append(similar(exact_set(x), known[b], PERCENT))
+                    known[b] = y, exact_set(y)
+                ok.append(similar(exact_set(x), known[b][1], PERCENT))
             a = [v for v, k in zip(other["a"], ok, strict=True) if k]
             b = [v for v, k in zip(other["b"], ok, strict=True) if k]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    found = written(both.mapInArrow(run, "a long, b long").distinct())
+    removed(texts)
+    return found
 
 
 def _close(left: str, right: str) -> F.Column:
-    """The size test and the sketch test: neither rejects a pair that links."""
-    apart = F.expr(f"aggregate(zip_with({left}sketch, {right}sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    """The size test and the sketch tests: none rejects a pair that links."""
+
+    def folded(x: str, y: str) -> str:
+        return f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+
     n, m = F.col(f"{left}n"), F.col(f"{right}n")
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (9 * apart <= n + m)
+    apart = " + ".join(f"bit_count({left}sketch[{i}] ^ {right}sketch[{i}])" for i in range(BITS // 64))  # written out, as loops aren't compiled
+    x, y = f"{left}wide", f"{right}wide"
+    farther = F.expr(f"aggregate(zip_with({folded(x, y)}, {folded(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (s, p) -> s + p)")
+    narrow = (F.size(x) == 0) | (F.size(y) == 0)
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (9 * F.expr(apart) <= n + m) & (narrow | (9 * farther <= n + m))
+
+
+def _hits(named: DataFrame) -> DataFrame:
+    """key, doc_id, pivot (the smallest doc_id of the key) of keys that several documents have."""
+    listed = named.select("doc_id", F.explode("keys").alias("key"))
+    some = listed.where(F.pmod(F.xxhash64("doc_id"), F.lit(SPARSE)) == 0).groupBy("key").count().where(F.col("count") >= FREQUENT)
+    hot = written(some.orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key", F.lit(True).alias("hot")))
+    held = listed.join(F.broadcast(hot), "key", "left").groupBy(F.when(F.col("hot"), F.col("key")).alias("key")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    known = named.sparkSession.createDataFrame([x for x in held.collect() if x["key"] is not None], "key long, low long, high long")  # MOST_HOT rows at most
+    # rows of a hot key know their pivot, so they needn't meet in one task
+    dealt = listed.join(F.broadcast(known), "key", "left").withColumn("part", F.when(F.col("low").isNull(), 0).otherwise(F.xxhash64("doc_id")))
+    own = Window.partitionBy("key", "part")
+    pivot, last = F.coalesce("low", F.min("doc_id").over(own)), F.coalesce("high", F.max("doc_id").over(own))
+    return dealt.select("key", "doc_id", pivot.alias("pivot"), last.alias("last")).where("pivot < last").select("key", "doc_id", "pivot")
+
+
+def _across(several: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a key's documents in different components that pass the tests.
+
+    ``several``: key, doc_id, component, main (the key's largest component), blocks, n, sketch, wide.
+    Of each such pair one document at least is outside the main component. A key's documents are
+    in blocks, and each pair of blocks is a group of its own, so no group holds more than two blocks.
+    """
+    several = several.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    outside = several.where("component <> main").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    every = several.withColumn("mate", F.explode(F.expr("sequence(0, blocks - 1)")))
+    left = outside.select("key", F.col("block").alias("mate"), F.col("other").alias("block"), *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "component", "n", "sketch", "wide")))
+    right = every.select("key", "mate", "block", "main", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "component", "n", "sketch", "wide")))
+    met = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("main")) | (F.col("a_doc_id") > F.col("b_doc_id")))
+    close = left.join(right, ["key", "mate", "block"]).where(met & _close("a_", "b_"))
+    close = close.select(F.greatest("a_doc_id", "b_doc_id").alias("a"), F.least("a_doc_id", "b_doc_id").alias("b"))
+    return written(close.distinct())
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,33 +249,36 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     The links connect each component; a link that follows from others may be missing.
     """
     every = written(sets(docs))
-    named = every.where("doc_id is not null")
-    hits = named.select("doc_id", F.explode("keys").alias("key"))
-    own = Window.partitionBy("key")
-    hits = hits.withColumn("pivot", F.min("doc_id").over(own)).withColumn("last", F.max("doc_id").over(own)).where("pivot < last").select("key", "doc_id", "pivot")
-    hits = written(hits)
-    facts = named.select("doc_id", "n", "one", "two", "sketch").dropDuplicates(["doc_id", "one", "two"])
+    facts = written(every.drop("keys"))
+    hits = written(_hits(every.where("doc_id is not null")))
+    removed(every)
+    named = facts.where("doc_id is not null and n > 0")
+    classes, told = ["n", "one", "two"], ["n", "sketch", "wide"]
+    stands = named.groupBy(*classes).agg(F.min(F.struct("doc_id", "sketch", "wide")).alias("s"))
+    stands = written(stands.select(*classes, F.col("s.doc_id").alias("rep"), "s.sketch", "s.wide"))
+    members = written(facts.select("doc_id", *classes).join(stands.select(*classes, "rep"), classes, "left").select("doc_id", "n", "rep"))
+    hits = written(hits.join(stands.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
     def side(p: str) -> DataFrame:
-        return facts.select(F.col("doc_id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "one", "two", "sketch")))
+        return stands.select(F.col("rep").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in told))
 
     pairs = hits.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a_", "b_"))
-    pairs = written(pairs.select("a", "b", F.expr("a_one = b_one and a_two = b_two and a_n = b_n").alias("same")))
-    links = pairs.where("same").select("a", "b").unionAll(_verified(pairs.where("not same").select("a", "b").distinct(), docs))
-    links = written(links)
+    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a_", "b_")).select("a", "b").distinct())
+    # a doc_id that several texts have is one node, so it links their classes
+    twice = members.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
+    twice = twice.join(twice.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = _verified(pairs, docs).unionAll(twice)
     found = components(links)
-    # keys whose documents are in several components still: all their pairs across components that weren't tested
-    grouped = hits.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = grouped.withColumn("x", F.min("component").over(own)).withColumn("y", F.max("component").over(own)).where("x < y").select("key", "doc_id", "component").distinct()
-    several = written(several.join(facts.select("doc_id", "n", "sketch"), "doc_id"))
-    left = several.select("key", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "component", "n", "sketch")))
-    right = several.select("key", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "component", "n", "sketch")))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a_doc_id") > F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & _close("a_", "b_"))
-    across = across.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(_verified(across, docs))
+    # keys whose documents are in several components still
+    grouped = hits.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")).distinct()
+    counted = grouped.groupBy("key", "component").agg(F.count("*").alias("held"))
+    mixed = counted.groupBy("key").agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("held"), F.count("*").alias("n")).where("n > 1")
+    mixed = mixed.select("key", F.col("main.component").alias("main"), F.ceil(F.col("held") / BLOCK).alias("blocks"))
+    several = grouped.join(mixed, "key").join(stands.select(F.col("rep").alias("doc_id"), *told), "doc_id")
+    more = _verified(_across(several), docs)
     if more.head(1):
         links = links.unionAll(more)
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
-    classes = every.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return classes.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), links
+    out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    return out, links.unionAll(copies).distinct()
