@@ -124,8 +124,11 @@ HELD = [
 ]
 #: Stems, one of which each template has.
 CUES = ("licen", "copyright", "rights reserved", "redistribut", "permission is hereby", "public domain", "free software", "spdx")
-#: Words of ordinary texts, which the prefilter passes over first.
-COMMON = ("the", "of", "and", "to", "in", "a", "that", "is", "it", "was", "on", "for", "with", "he", "are", "at", "by", "this", "be", "or")
+#: Words of ordinary texts. They teach nothing alone or among themselves: only pairs with another word are features.
+COMMON = (
+    "the of and to in a that is it was on for with he are at by this be or as an from do no our what any all not may you your we they i if but have has had will would can"
+    " their there which when who its his her she one two so up out about into than then them these some could other more only new now over such"
+).split()
 _WORD = "[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
 
 
@@ -156,8 +159,8 @@ def telling(model: Classifier) -> list[str]:
         if y and y != x:
             pairs.setdefault(y, []).append((x, i))
     stock = [f for f in model.features if " " not in f]
-    harmless: set[str] = set()
-    for w in sorted(stock, key=lambda w: (w not in COMMON, above[model.number[w]].max(), w)):
+    harmless: set[str] = set(COMMON)
+    for w in sorted(stock, key=lambda w: (above[model.number[w]].max(), w)):
         cost = above[[i for x, i in pairs[w] if x == w or x in harmless]].sum(axis=0)
         if (cost <= room).all():
             harmless.add(w)
@@ -191,11 +194,11 @@ def train(copies: int = 12, steps: int = 200, rate: float = 0.5, l2: float = 2e-
     rows = [(families.index(f), t if i == 0 else varied(t)) for f, x in TEMPLATES.items() for t in x for i in range(copies)]
     rows += [(0, t if i == 0 else varied(t)) for t in OTHERWISE for i in range(copies)]
     rows += [(0, " ".join(rng.choice(stock if i % 2 else filler, rng.integers(1, 9)))) for i in range(20 * copies)]
-    features = sorted({g for _, t in rows for g in ngrams(t)})
+    features = sorted({g for _, t in rows for g in ngrams(t) if not set(g.split()) <= set(COMMON)})
     number = {g: i for i, g in enumerate(features)}
     x = np.zeros((len(rows), len(features)), np.float32)
     for i, (_, t) in enumerate(rows):
-        x[i, [number[g] for g in ngrams(t)]] = 1
+        x[i, [number[g] for g in ngrams(t) if g in number]] = 1
     y = np.array([k for k, _ in rows])
     target = np.eye(len(families), dtype=np.float32)[y]
     w, b = np.zeros((len(features), len(families)), np.float32), np.zeros(len(families), np.float32)
