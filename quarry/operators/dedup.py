@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as t
+from quarry.sources.scratch import written
 
 #: Modulus of the MinHash permutations.
 PRIME = 2**31 - 1
-#: Cells that the counts of n-grams are kept by.
-CELLS = 2**18
+#: Keys beyond those that a similar pair must share one of: an n-th of the set.
+MORE = 16
+#: Bits of a key; keys in a sorted block; characters of text whose keys make a part; meetings counted at once.
+KEY_BITS, FLUSH_KEYS, PART_CHARS, HITS = 36, 2_000_000, 60_000_000, 2_000_000
+#: Blocks of texts that pairs are compared by.
+BLOCKS = 64
 
 
 def exact_dedup(rows: DataFrame, key: Column, *best: Column) -> DataFrame:
@@ -33,52 +39,237 @@ def keep_first(rows: DataFrame, keys: list[str], n: int, *order: Column) -> Data
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
 
 
-def _gram_hashes(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(F.col(key).alias("id"), F.explode(t.shingles(F.col(text))).alias("g")).select("id", F.xxhash64("g").alias("g"))
+def gram_hashes(text: str, n: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct character n-grams; none for shorter texts."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(points) < n:
+        return points[:0]
+    h = np.zeros(len(points) - n + 1, np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[i : len(points) - n + 1 + i]
+    h = _mixed(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, similarity) of ``pairs`` whose sets ``s`` are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, prepare: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """Pairs (a, b, similarity) of ``pairs`` whose texts in ``texts`` (id, text) are similar enough, by their n-grams.
 
-def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
+    Texts in a pair are carried once for each of BLOCKS blocks of partners at most,
+    so the texts of a large group aren't carried once for each of its pairs.
+    """
+    pairs = written(pairs.distinct())
+    for x in ("a", "b"):
+        pairs = pairs.withColumn(f"block_{x}", F.pmod(F.xxhash64(F.lit(1), x), F.lit(BLOCKS)))
+    pairs = pairs.select("a", "b", F.concat_ws(":", "block_a", "block_b").alias("group"))
+    places = pairs.select(F.col("a").alias("id"), F.col("group").alias("place")).unionAll(pairs.select("b", "group")).distinct()
+    held = texts.join(places, "id").select("id", prepare(F.col("text")).alias("text"), "place")
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets: dict = {}
+        for i, x in set(zip(right.column("id").to_pylist(), right.column("text").to_pylist())):
+            sets.setdefault(i, []).append(gram_hashes(x or ""))
+        out = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            for x in sets.get(a, ()):
+                for y in sets.get(b, ()):
+                    common = _common(x, y)
+                    if common and common / (len(x) + len(y) - common) >= threshold:
+                        out.append((a, b, common / (len(x) + len(y) - common)))
+        columns = list(zip(*out)) or [[], [], []]
+        return pa.table([pa.array(columns[0], left.schema.field("a").type), pa.array(columns[1], left.schema.field("b").type), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+
+    return pairs.groupBy("group").cogroup(held.groupBy("place")).applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8, firsts: DataFrame | None = None, prepare: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """Pairs (a, b, similarity) whose sets of character 5-grams have a Jaccard similarity of ``threshold`` or more.
 
-    Exact, by prefix filtering: each row is joined on its rarest n-grams, as many as
-    two similar sets can't all differ in; pairs go on to comparison only where sizes,
-    the number met there and what is left make the overlap needed possible. Any order of the n-grams
-    gives the same pairs, so counts by hash cell (``CELLS`` rows at most, whatever
-    the input) say which are rare. Pass one row for each distinct text: copies
-    need no comparison. Texts under 5 characters, empty and null ones are in no pair.
+    Exact. A set of n n-grams belongs to a size band (a power of two) that fixes a number
+    of cells; each n-gram falls into one, and a cell's key is a hash of all it holds. Sets
+    that differ in D n-grams differ in D cells at most, so of each set's cells the first
+    D + 1 + x by one global order (fullest first) have x + 1 keys or more in common. Keys
+    go in sorted blocks of some five bytes a key to the task of their band and part. A pair
+    with s common keys has s / parts of them in some part, and goes on to comparison from there;
+    so it costs no disk to meet a key that many texts have. Sets with too few cells have keys for
+    empty ones too. Copies meet as one text, known by 64 bits of its digest, and aren't paired
+    with each other; the row that stands for a text is the one in ``firsts`` (node, id), else
+    each. ``prepare`` is applied to the texts first. Texts under 5 characters, empty and null ones and null ids are in no pair.
     """
-    return _similar(_gram_hashes(rows, key, text), F.lit(True), F.lit(True), F.col("a") < F.col("b"), threshold)
+    named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    norm = prepare(F.col("text"))
+    met = _met(named.select(F.xxhash64(norm).alias("node"), norm.alias("text"), F.lit(0).alias("side")), False, threshold)
+    return _named(met, named, firsts, threshold, prepare)
+
+
+def _named(met: DataFrame, named: DataFrame, firsts: DataFrame | None, threshold: float, prepare: Callable[[Column], Column]) -> DataFrame:
+    """Verified pairs of ids from pairs (a, b) of nodes, digests of texts."""
+    names = firsts if firsts is not None else named.select(F.xxhash64(prepare(F.col("text"))).alias("node"), "id")
+    met = _renamed(met.distinct(), names).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    return _verified(met, named, threshold, prepare)
 
 
 def similar_across(rows: DataFrame, others: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a of ``rows``, b of ``others``, similarity) as in ``similar_pairs``; pairs within one table aren't compared."""
-    grams = [_gram_hashes(x, key, text).withColumn("id", F.struct(F.lit(i).alias("side"), F.col("id").alias("key"))) for i, x in enumerate((rows, others))]
-    pairs = _similar(grams[0].unionByName(grams[1]), F.col("id.side") == 0, F.col("id.side") == 1, F.lit(True), threshold)
-    return pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), "similarity")
-
-
-def _similar(grams: DataFrame, in_a: Column, in_b: Column, meet: Column, threshold: float) -> DataFrame:
-    cell = F.pmod(F.col("g"), F.lit(CELLS))
-    counts = grams.groupBy(cell.alias("cell")).agg(F.count("*").alias("often"))
-    ranked = grams.withColumn("cell", cell).join(F.broadcast(counts), "cell")
-    sets = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("o"))
-    sets = sets.select("id", F.col("o.g").alias("s"), F.size("o").alias("n"), F.expr(f"slice(o, 1, size(o) - cast(ceil({threshold} * size(o)) as int) + 1)").alias("first"))
-    # n-grams up to the earlier of two prefixes' last ones are all compared; of the rest, at most ``rest`` can be common
-    keys = sets.select("id", "n", (F.col("n") - F.size("first")).alias("rest"), F.element_at("first", -1).alias("last"), F.explode("first.g").alias("g"))
-    left, right = (keys.where(c).select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"rest{x}"), F.col("last").alias(f"last{x}"), "g") for x, c in (("a", in_a), ("b", in_b)))
-    close = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6
-    met = left.join(right, "g").where(meet & close)
-    met = met.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.when(F.col("lasta") <= F.col("lastb"), F.col("resta")).otherwise(F.col("restb")).alias("rest"))
-    shared = met.groupBy("a", "b", "n", "rest").agg(F.count("*").alias("k"))
-    pairs = shared.where(F.col("k") + F.col("rest") >= threshold / (1 + threshold) * F.col("n") - 1e-6).select("a", "b")
-    return _verified(pairs, sets, threshold)
+    """Pairs (a of ``rows``, b of ``others``, similarity) as in ``similar_pairs``; pairs within one table aren't compared. Repeated rows are compared once."""
+    sides = [x.where(F.col(key).isNotNull()).select(F.struct(F.lit(i).alias("side"), F.col(key).alias("key")).alias("id"), F.col(text).alias("text"), F.lit(i).alias("side")) for i, x in enumerate((rows, others))]
+    both = sides[0].unionAll(sides[1]).select(F.xxhash64("id").alias("node"), F.col("id.key").alias("key"), "text", "side")
+    told = written(_verified(_met(both.select("node", "text", "side"), True, threshold), both.select(F.col("node").alias("id"), "text"), threshold).distinct())
+    asked = told.select(F.col("a").alias("node")).unionAll(told.select("b")).distinct()
+    names = written(both.select("node", F.col("key").alias("id")).join(asked, "node", "left_semi").distinct())
+    return _renamed(told, names)
+
+
+def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``pairs`` with the ids of ``names`` (node, id) in the place of nodes."""
+    others = [c for c in pairs.columns if c not in ("a", "b")]
+    for x in ("a", "b"):
+        pairs = pairs.withColumnRenamed(x, "node").join(names, "node").withColumnRenamed("id", x).drop("node")
+    return pairs.select("a", "b", *others)
+
+
+def cell_keys(h: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, int]]:
+    """Band, keys and the number of them that a similar set of that band must share, for each band that the set ``h`` has partners in."""
+    n = len(h)
+    own = n.bit_length() - 1
+    band = own
+    while band >= 0 and threshold * n <= 2 ** (band + 1) - 1 + 1e-6:
+        # as the smaller of a pair, or its like; in bands below, as the larger one
+        most = int(n * (1 - threshold) / threshold + 1e-6) if band == own else int((n + min(n, 2 ** (band + 1) - 1)) * (1 - threshold) / (1 + threshold) + 1e-6)
+        cells = int(2.4 * 2**band * (1 - threshold) / threshold) + 3
+        cell = ((h >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        held = np.diff(np.append(first, n))
+        key = _mixed(np.add.reduceat(_mixed(h), first) + _mixed(cell[first]))
+        if len(key) <= most:
+            empty = np.setdiff1d(np.arange(cells, dtype=np.uint64), cell[first])
+            yield band, np.concatenate([key, _mixed(_mixed(empty))]), 1
+        else:
+            key = key[np.lexsort((key, -held))][: most + 1 + n // MORE]
+            yield band, key, len(key) - most
+        band -= 1
+
+
+def _packed(keys: np.ndarray, who: np.ndarray, docs: np.ndarray) -> bytes:
+    """Sorted keys as differences, three bytes each and the rest compressed; two bytes say whose they are among ``docs``."""
+    there, at = np.unique(who, return_inverse=True)
+    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    told = docs[there].tobytes()
+    high = zlib.compress(steps[3:5].tobytes(), 1)
+    return np.array([len(keys), len(there), len(high)], np.int64).tobytes() + told + at.astype(np.uint16).tobytes() + steps[:3].tobytes() + high
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m, size = np.frombuffer(blob, np.int64, 3)
+    at = 24 + 32 * m
+    docs = np.frombuffer(blob, np.int64, 4 * m, 24).reshape(m, 4)
+    who = np.frombuffer(blob, np.uint16, n, at).astype(np.int64)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :3] = np.frombuffer(blob, np.uint8, 3 * n, at + 2 * n).reshape(3, n).T
+    steps[:, 3:5] = np.frombuffer(zlib.decompress(blob[at + 5 * n : at + 5 * n + size]), np.uint8).reshape(2, n).T
+    return np.cumsum(steps.view(np.uint64).ravel()), who, docs
+
+
+def _met(rows: DataFrame, across: bool, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of ``rows`` (node, text, side) that share keys enough; ``across``: of side 0 with side 1. Rows of one node have one text."""
+    size = rows.agg(F.sum(F.length("text").cast("long"))).head()[0] or 0
+    parts = max(1, -(-size // PART_CHARS))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, keys, groups, total = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            key = np.concatenate(keys)
+            who = np.repeat(np.arange(len(docs)), [len(k) for k in keys])
+            group = np.repeat(np.array(groups, np.uint64) * np.uint64(parts), [len(k) for k in keys]) + (key & np.uint64(0xFFFFFF)) % np.uint64(parts)
+            order = np.argsort((group << np.uint64(KEY_BITS)) | (key >> np.uint64(64 - KEY_BITS)))
+            key, who, group = (key >> np.uint64(64 - KEY_BITS))[order], who[order], group[order]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            ends = np.append(first[1:], len(group))
+            told = np.array(docs, np.int64)
+            blobs = [_packed(key[i:j], who[i:j], told) for i, j in zip(first, ends)]
+            return pa.RecordBatch.from_arrays([pa.array(group[first].astype(np.int64)), pa.array(blobs, pa.binary())], names=["group", "blob"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = gram_hashes(batch.column(1)[i].as_py() or "")
+                if not len(h):
+                    continue
+                for band, key, shared in cell_keys(h, threshold):
+                    docs.append((batch.column(0)[i].as_py(), len(h), shared, batch.column(2)[i].as_py()))
+                    keys.append(key), groups.append(band)
+                    total += len(key)
+                if total >= FLUSH_KEYS or len(docs) > 60_000:
+                    yield flush()
+                    docs, keys, groups, total = [], [], [], 0
+        if docs:
+            yield flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        got = [_unpacked(x.as_py()) for x in table.column("blob")]
+        begin = np.cumsum([0, *(len(x[2]) for x in got)])
+        docs = np.concatenate([x[2] for x in got])
+        key = np.concatenate([x[0] for x in got])
+        who = np.concatenate([x[1] + b for x, b in zip(got, begin)])
+        del got
+        one = np.zeros(len(docs), bool)  # copies have the same keys
+        one[np.unique(docs[:, 0], return_index=True)[1]] = True
+        key, who = key[one[who]], who[one[who]]
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        del order
+        edge = key[1:] != key[:-1]
+        alone = np.concatenate([[True], edge]) & np.concatenate([edge, [True]])
+        key, who = key[~alone], who[~alone]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        if across:
+            side = docs[who, 3]
+            order = np.lexsort((side, np.repeat(np.arange(len(first)), count)))
+            who, side = who[order], side[order]
+            near = np.add.reduceat(1 - side, first) if len(first) else count
+            start, many = np.repeat(first, count), np.where(side == 1, np.repeat(near, count), 0)
+        else:
+            start = np.arange(len(key)) + 1
+            many = np.repeat(first + count, count) - start
+        # entries by text, in blocks of texts with a bounded number of meetings
+        order = np.argsort(who, kind="stable")
+        order = order[many[order] > 0]
+        own, start, many = who[order], start[order], many[order]
+        reach = np.cumsum(many)
+        out, at = [], 0
+        while at < len(own):
+            to = int(np.searchsorted(reach, (reach[at - 1] if at else 0) + HITS))
+            to = max(int(np.searchsorted(own, own[min(to, len(own) - 1)])), int(np.searchsorted(own, own[at], "right"))) if to < len(own) else len(own)
+            m = many[at:to]
+            ends = np.cumsum(m)
+            place = np.arange(ends[-1]) + np.repeat(start[at:to] - (ends - m), m)
+            met = np.repeat(own[at:to], m) * len(docs) + who[place]
+            met.sort()
+            new = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+            times, met = np.diff(np.append(new, len(met))), met[new]
+            x, y = docs[met // len(docs)], docs[met % len(docs)]
+            small, large = np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1])
+            ok = (times * parts >= np.minimum(x[:, 2], y[:, 2])) & (small >= threshold * large - 1e-6)
+            out.append((y[ok, 0], x[ok, 0]))
+            at = to
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
+        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    blobs = rows.mapInArrow(emit, "group long, blob binary")
+    return blobs.groupBy("group").applyInArrow(meet, "a long, b long")
 
 
 def _coefficients(permutations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,12 +315,13 @@ def minhash(rows: DataFrame, key: str, text: str, permutations: int = 128, bands
     return sketches.select("id", F.inline(F.array(*keys)))
 
 
-def minhash_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Pairs that share a band of MinHash and pass the exact test: all true, not all of them. As for ``similar_pairs``, pass distinct texts."""
-    buckets = minhash(rows, key, text)
-    pairs = buckets.alias("x").join(buckets.alias("y"), ["band", "bucket"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sets = rows.select(F.col(key).alias("id"), F.transform(t.shingles(F.col(text)), lambda x: F.xxhash64(x)).alias("s"))
-    return _verified(pairs, sets, threshold)
+def minhash_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8, firsts: DataFrame | None = None, prepare: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """Pairs that share a band of MinHash and pass the exact test: all true, not all of them. ``firsts`` and ``prepare`` as for ``similar_pairs``."""
+    named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    norm = prepare(F.col("text"))
+    buckets = written(minhash(named.select(F.xxhash64(norm).alias("node"), norm.alias("text")), "node", "text").distinct())
+    met = buckets.alias("x").join(buckets.alias("y"), ["band", "bucket"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return _named(met, named, firsts, threshold, prepare)
 
 
 def survivors(pairs: DataFrame, priority: DataFrame) -> DataFrame:
@@ -146,6 +338,6 @@ def contaminated(train: DataFrame, evaluation: DataFrame, key: Column) -> DataFr
 def contaminated_near(train: DataFrame, evaluation: DataFrame, text: str, threshold: float = 0.8) -> DataFrame:
     """Training rows whose normalized text is an evaluation row's, or similar to one. Each distinct text is compared once, whatever ids stand with it."""
     key = t.exact_key(F.col(text))
-    own, other = (x.select(key.alias("key"), t.normalize_question(F.col(text)).alias("norm")).where("key is not null").dropDuplicates(["key"]) for x in (train, evaluation))
+    own, other = (x.select(key.alias("key"), t.normalize_question(F.col(text)).alias("norm")).where("key is not null") for x in (train, evaluation))
     near = similar_across(own, other, "key", "norm", threshold).select(F.col("a").alias("key"))
     return train.withColumn("key", key).join(other.select("key").unionByName(near).distinct(), "key", "left_semi")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions import latex
 from quarry.functions import text as t
 from quarry.operators import dedup, rollouts, strata
+from quarry.sources.scratch import written
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -100,28 +101,33 @@ o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.
 p AS (SELECT a, b, c / (u.n + v.n - c) AS s FROM o JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE c / (u.n + v.n - c) >= 0.8)"""
 
 
-def distinct_questions(d: Tables) -> DataFrame:
-    """The rows that exact dedup keeps, with their normalized texts."""
-    kept = dedup.exact_dedup(d.documents, t.exact_key(F.col("text")), priority(), F.col("doc_id")).where("kept")
-    return kept.select("doc_id", t.normalize_question(F.col("text")).alias("norm"))
+def first_questions(d: Tables) -> DataFrame:
+    """The rows that exact dedup keeps: node (a digest of the normalized text), id. Ids and digests are dealt out, not texts."""
+    norm = t.normalize_question(F.col("text"))
+    told = written(d.documents.select("doc_id", "source", F.sha2(norm, 256).alias("long"), F.xxhash64(norm).alias("node")))
+    kept = dedup.exact_dedup(told, F.col("long"), priority(), F.col("doc_id")).where("kept")
+    return written(kept.select("node", F.col("doc_id").alias("id")))
+
+
+def question_pairs(d: Tables, pairs: Callable) -> DataFrame:
+    return pairs(d.documents, "doc_id", "text", firsts=first_questions(d), prepare=t.normalize_question)
 
 
 @query(f"{PAIRS} SELECT a, b, round(s, 6) AS similarity FROM p")
 def near_dup_pairs(d):
-    return dedup.similar_pairs(distinct_questions(d), "doc_id", "norm").select("a", "b", r6("similarity", "similarity"))
+    return question_pairs(d, dedup.similar_pairs).select("a", "b", r6("similarity", "similarity"))
 
 
 @query()
 def near_dup_minhash(d):
-    return dedup.minhash_pairs(distinct_questions(d), "doc_id", "norm").select("a", "b", r6("similarity", "similarity"))
+    return question_pairs(d, dedup.minhash_pairs).select("a", "b", r6("similarity", "similarity"))
 
 
 @query(f"""{PAIRS}
 SELECT DISTINCT CASE WHEN (CAST(substr(s.source, 4) AS INT), a) < (CAST(substr(q.source, 4) AS INT), b) THEN b ELSE a END AS doc_id FROM p JOIN documents s ON s.doc_id = a JOIN documents q ON q.doc_id = b""")
 def near_dup_removed(d):
-    pairs = dedup.similar_pairs(distinct_questions(d), "doc_id", "norm")
     rank = d.documents.select(F.col("doc_id").alias("id"), F.struct(priority().alias("p"), "doc_id").alias("rank"))
-    return dedup.survivors(pairs, rank).select(F.col("id").alias("doc_id"))
+    return dedup.survivors(question_pairs(d, dedup.similar_pairs), rank).select(F.col("id").alias("doc_id"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE sha256({NORM}) IN (SELECT sha256({NORM}) FROM benchmark)")

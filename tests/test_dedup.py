@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quarry.operators import dedup
 
 
@@ -57,3 +59,42 @@ def test_contaminated_near(spark):
     got = [r.doc_id for r in dedup.contaminated_near(train, evaluation, "text").collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 10
     assert not dedup.contaminated_near(train, evaluation.limit(0), "text").count()
+
+
+def shuffled(spark):
+    return spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_disk_of_pairs(spark):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)) for _ in range(300)]
+    rows = list(enumerate([*texts, *texts[:50], *(x.replace(x.split()[7], "other") for x in texts[:40])]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(x) for _, x in rows)
+    for pairs in (dedup.similar_pairs, dedup.minhash_pairs):
+        before = shuffled(spark)
+        assert len({frozenset((r.a, r.b)) for r in pairs(df, "doc_id", "text").collect()}) >= 40
+        assert shuffled(spark) - before < 4 * size
+    before = shuffled(spark)
+    few = spark.createDataFrame([(i, x) for i, x in enumerate(texts[:20])], "item_id long, text string")
+    assert dedup.contaminated_near(df, few, "text").count() == 60
+    assert shuffled(spark) - before < 4 * size
+
+
+def test_copies_meet_once(spark):
+    rng = random.Random(12)
+    base = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    near = base.replace(base.split()[5], "other")
+    rows = [(i, base) for i in range(300)] + [(i, near.upper()) for i in range(300, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    firsts = spark.createDataFrame([(base, 7), (near, 301)], "x string, id long").selectExpr("xxhash64(x) AS node", "id")
+    got = dedup.similar_pairs(df, "doc_id", "text", firsts=firsts, prepare=lambda x: F.lower(x)).collect()
+    assert [(r.a, r.b) for r in got] == [(7, 301)]
+
+
+def test_parts_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PART_CHARS", 3000)
+    monkeypatch.setattr(dedup, "FLUSH_KEYS", 500)
+    monkeypatch.setattr(dedup, "HITS", 50)
+    test_pairs(spark)
+    test_contaminated_near(spark)
