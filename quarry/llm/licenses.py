@@ -12,8 +12,9 @@ calibrates its probabilities; it is fitted on notices and sentences that were in
 way trained on (``HELD``). What stays below ``LEAST`` is unknown. A prediction is
 confirmed if a template of its family shares enough word pairs with the paragraph.
 
-On the main path there are DataFrame functions only: weights and templates are
-small tables (a fixed size, broadcast) that meet the exploded n-grams in a join.
+On the main path there are DataFrame functions only: weights and templates are a
+small table (a fixed size, broadcast) that meets the exploded n-grams in a join.
+Rows of n-grams don't carry their paragraph's text, and texts aren't shuffled.
 
 A line has a row if it holds a cue or a family is predicted, a block if a family
 is predicted that none of its lines shows as well.
@@ -137,8 +138,11 @@ def ngrams(text: str) -> list[str]:
     return sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
 
 
-def _ngrams(line: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(line), F.lit(f"({_WORD})"), 1)
+def _words(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(f"({_WORD})"), 1)
+
+
+def _ngrams(words: Column) -> Column:
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.concat(words, F.filter(pairs, lambda x: x.isNotNull())))
 
@@ -224,13 +228,34 @@ def train(copies: int = 12, steps: int = 200, rate: float = 0.5, l2: float = 2e-
 
 
 def paragraphs(text: DataFrame) -> DataFrame:
-    """doc_id, h (the text's hash), line (from 1), lines, content: lines, and blocks of several lines, once each."""
+    """doc_id, h (the text's hash), row, line (from 1), lines, content: lines, and blocks of several lines, once each."""
     lines = F.split("text", "\n", -1)
-    each = text.select("doc_id", "h", F.posexplode(lines).alias("at", "content")).select("doc_id", "h", (F.col("at") + 1).alias("line"), F.lit(1).alias("lines"), "content")
+    each = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.lit(1).alias("lines"), x.alias("content")))
     marked = F.transform(lines, lambda x, i: F.when(F.trim(F.regexp_replace(x, r"\s", " ")) == "", "").otherwise(F.concat((i + 1).cast("string"), F.lit("\x01"), x)))
-    blocks = text.select("doc_id", "h", F.explode(F.split(F.array_join(marked, "\n"), "\n\n+")).alias("b")).withColumn("b", F.regexp_replace("b", r"^\n+|\n+$", ""))
-    blocks = blocks.select("doc_id", "h", F.regexp_extract("b", "^([0-9]+)\x01", 1).try_cast("int").alias("line"), F.size(F.split("b", "\n")).alias("lines"), F.regexp_replace("b", "(^|\n)[0-9]+\x01", " ").alias("content"))
-    return each.unionByName(blocks.where("lines > 1"))
+    blocks = F.transform(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda b: F.regexp_replace(b, r"^\n+|\n+$", ""))
+    first = lambda b: F.regexp_extract(b, "^([0-9]+)\x01", 1).try_cast("int")
+    blocks = F.transform(blocks, lambda b: F.struct(first(b).alias("line"), F.size(F.split(b, "\n")).alias("lines"), F.regexp_replace(b, "(^|\n)[0-9]+\x01", " ").alias("content")))
+    # in one array, so that a text is read once
+    return text.select("doc_id", "h", "row", F.inline(F.concat(each, F.filter(blocks, lambda b: b["lines"] > 1))))
+
+
+#: Templates whose counts of shared pairs one 64-bit number holds, each in so many bits.
+PACKED, WIDTH = 7, 9
+
+
+def gram_table(model: Classifier, templates: list[set[str]]) -> list[tuple[str, list[float], list[int]]]:
+    """For each n-gram its weights by family, and ones packed for the templates that have it as a pair; the empty n-gram has the bias."""
+    packs = -(-len(templates) // PACKED)
+    marks: dict[str, list[int]] = {}
+    for i, pairs in enumerate(templates):
+        assert len(pairs) < 1 << WIDTH
+        for g in pairs:
+            marks.setdefault(g, [0] * packs)[i // PACKED] += 1 << (WIDTH * (i % PACKED))
+    rows = [("", [float(v) for v in model.bias], [0] * packs)]
+    for g in sorted({*model.features, *marks}):
+        w = model.weights[model.number[g]] if g in model.number else np.zeros(len(model.families))
+        rows.append((g, [float(v) for v in w], marks.get(g, [0] * packs)))
+    return rows
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -239,35 +264,45 @@ def scan(docs: DataFrame) -> DataFrame:
     model = train()
     k = len(model.families)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    stock = telling(model)
 
-    def cue(c: Column) -> Column:
-        low = F.lower(c)
+    def cue(low: Column) -> Column:
         return functools.reduce(lambda a, b: a | b, [low.contains(x) for x in CUES])
 
-    stock = telling(model)
-
-    def told(c: Column) -> Column:
-        return F.exists(F.regexp_extract_all(F.lower(c), F.lit(f"({_WORD})"), 1), lambda w: w.isin(stock))
-
-    # most texts hold neither a cue nor a telling word, so neither do their paragraphs
-    text = text.where(cue(F.col("text")) | told(F.col("text")))
-    key = ["doc_id", "h", "line", "lines", "content"]
-    lines = paragraphs(text).where(((F.col("lines") == 1) & cue(F.col("content"))) | told(F.col("content"))).distinct()
-    # a paragraph without an n-gram of the model has the bias, whose n-gram is the empty one
-    weights = spark.createDataFrame([("", [float(v) for v in model.bias])] + [(g, [float(v) for v in row]) for g, row in zip(model.features, model.weights)], "gram string, w array<double>")
-    hits = lines.select(*key, F.explode(F.concat(F.array(F.lit("")), _ngrams(F.col("content")))).alias("gram")).join(F.broadcast(weights), "gram")
-    logits = hits.groupBy(*key).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)))
+    def told(words: Column) -> Column:
+        return F.exists(words, lambda w: w.isin(stock))
+
+    # most texts hold neither a cue nor a telling word, so neither do their paragraphs; an array of one, as a filter evaluates an expression at each use
+    text = text.where(F.exists(F.array(F.lower("text")), lambda low: cue(low) | told(_words(low))))
+    one = F.col("lines") == 1
+    # repeated rows are told apart by a number of the row
+    text = text.withColumn("row", F.monotonically_increasing_id())
+    key = ["doc_id", "h", "row", "line", "lines"]
+    # inline keeps what follows from evaluating these expressions again
+    lines = paragraphs(text).select(*key, F.inline(F.transform(F.array(F.lower("content")), lambda low: F.struct(low.alias("low"), _words(low).alias("words")))))
+    lines = lines.where((one & cue(F.col("low"))) | told(F.col("words")))
+    named = [(f, {g for g in ngrams(t) if " " in g}) for f, x in TEMPLATES.items() for t in x]
+    grams = gram_table(model, [pairs for _, pairs in named])
+    table = spark.createDataFrame(grams, "gram string, w array<double>, t array<long>")
+    # a paragraph's text goes no further: its n-grams have the weights and the templates' pairs, and a flag tells of its cue
+    lines = lines.select(*key, (one & cue(F.col("low"))).alias("cued"), F.explode(F.concat(F.array(F.lit("")), _ngrams(F.col("words")))).alias("gram"))
+    hits = lines.join(F.broadcast(table), "gram")
+    packs = len(grams[0][2])
+    logits = hits.groupBy(*key, "cued").agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)), *(F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(packs)))
     top = logits.withColumn("top", F.greatest(*(F.col(f"z{i}") for i in range(k))))
     total = functools.reduce(lambda a, b: a + b, [F.exp(F.col(f"z{i}") - F.col("top")) for i in range(k)])
-    named = F.coalesce(*(F.when(F.col(f"z{i}") == F.col("top"), F.lit(f)) for i, f in enumerate(model.families)))
-    guess = top.select(*key, (1 / total).alias("probability"), named.alias("guess"))
+    guess = top.withColumn("probability", 1 / total).withColumn("guess", F.coalesce(*(F.when(F.col(f"z{i}") == F.col("top"), F.lit(f)) for i, f in enumerate(model.families))))
     guess = guess.withColumn("family", F.when(F.col("probability") >= LEAST, F.col("guess")).otherwise(F.lit(UNKNOWN)))
-    guess = guess.where((F.col("family") != UNKNOWN) | ((F.col("lines") == 1) & cue(F.col("content"))))
-    templates = spark.createDataFrame([(f, [g for g in ngrams(t) if " " in g]) for f, x in TEMPLATES.items() for t in x], "family string, pairs array<string>")
-    compared = guess.join(F.broadcast(templates), "family", "left")
-    share = F.size(F.array_intersect(F.col("pairs"), _ngrams(F.col("content")))) / F.greatest(F.size("pairs"), F.lit(1))
-    best = compared.withColumn("share", F.when(F.col("pairs").isNull(), 0.0).otherwise(share))
-    best = best.groupBy(*key, "family", "probability").agg(F.max("share").alias("similarity"))
+    guess = guess.where((F.col("family") != UNKNOWN) | F.col("cued"))
+
+    def share(i: int) -> Column:
+        held = F.shiftright(F.col(f"t{i // PACKED}"), WIDTH * (i % PACKED)).bitwiseAND(F.lit((1 << WIDTH) - 1))
+        return held / F.lit(max(len(named[i][1]), 1))
+
+    # the largest share of a template's pairs, of the templates of its family
+    of = {f: [share(i) for i, (g, _) in enumerate(named) if g == f] for f in TEMPLATES}
+    shares = [F.when(F.col("family") == f, F.greatest(*x) if len(x) > 1 else x[0]) for f, x in of.items()]
+    best = guess.withColumn("similarity", F.coalesce(*shares, F.lit(0.0)))
     best = best.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.round("similarity", 6) >= CONFIRM))
     # a block says nothing new if one of its lines shows its family as well as it does
     units = best.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "lines", "family", "probability", "similarity", "confirmed")).alias("u"))
