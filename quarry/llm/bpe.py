@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_slices
+from quarry.llm.common import give_back, text_slices
 from quarry.llm.unicode_classes import has_disputed
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
@@ -43,6 +44,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 BLOCK_BYTES = 4_000_000
 #: Bytes of text whose words a bucket should hold, on average; buckets at least, and at most.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 48, 1 << 20
+#: Words that the tokenizer encodes in one call.
+ENCODED_AT_ONCE = 5_000
+#: Documents whose pieces are put together before they leave the worker.
+DECODED_AT_ONCE = 500
 
 
 class Vocabulary:
@@ -56,6 +61,8 @@ class Vocabulary:
         self.tokenizer.no_padding()
         spec = json.loads(source)
         self.special = [x["content"] for x in spec["added_tokens"]]
+        del spec
+        give_back()
         split = "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))
         self._special = regex.compile(f"({split})") if split else None
         self._words = regex.compile(WORDS)
@@ -158,6 +165,7 @@ def encode_bucket(source):
     """Arrow groups by bucket: encodes each distinct word of the bucket once; a row of ids for each block."""
 
     def run(group: pa.Table) -> pa.Table:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # its threads each keep memory, and a task has one core
         v = vocabulary(source.value)
         table: dict[bytes, int] = {}
         coded: list[np.ndarray] = []
@@ -169,17 +177,22 @@ def encode_bucket(source):
             coded.append(np.fromiter((table.setdefault(raw[a:b], len(table)) for a, b in zip(starts, ends.tolist(), strict=True)), np.int64, n))
         words = [w.decode() for w in table]
         del table
-        ids: list[list[int]] = []
-        for at in range(0, len(words), 20_000):
-            ids += v.encode(words[at : at + 20_000])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), "<u4", int(sizes.sum()))
+        held_sizes, held_ids = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for at in range(0, len(words), ENCODED_AT_ONCE):
+            ids = v.encode(words[at : at + ENCODED_AT_ONCE])
+            held_sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            held_ids.append(np.fromiter((i for x in ids for i in x), "<u4", int(held_sizes[-1].sum())))
+            del ids
+        del words
+        sizes, flat = np.concatenate(held_sizes), np.concatenate(held_ids)
         first = np.cumsum(sizes) - sizes
         out = []
         for code in coded:
             n = sizes[code]
             at = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out.append(_pack(len(code).to_bytes(4, "little") + n.astype("<u4").tobytes() + flat[at].astype("<u4").tobytes()))
+        del coded, sizes, flat, first
+        give_back()
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     return run
@@ -247,49 +260,44 @@ def encode(docs: DataFrame, source: str, block_bytes: int = BLOCK_BYTES, bucket_
     return heads.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, "doc_id long, ids array<int>")
 
 
-def decode(coded: DataFrame, source: str) -> DataFrame:
-    """doc_id and the text of ``ids``, special tokens included; null ids give null.
+def decode(coded: DataFrame, source: str, hashed: bool = False) -> DataFrame:
+    """doc_id, ids and the text of ``ids``, special tokens included; null ids give null.
 
     Ids are joined to the pieces of the vocabulary inside each batch: the table
     of pieces is as large as the vocabulary, whatever the input, so it is sent
     to the workers. Bytes that are no UTF-8 become U+FFFD.
+
+    ``hashed`` adds ids_sha256 of ids as little-endian 32-bit integers, from the
+    worker that has them already: each Python step after another keeps a worker
+    of its own at every core.
     """
     shared = coded.sparkSession.sparkContext.broadcast(pieces(source))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), *[("ids_sha256", pa.string())] * hashed])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array([*shared.value, None], dtype=object)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, DECODED_AT_ONCE):
+                part = batch.slice(at, DECODED_AT_ONCE)
                 column = part.column(1)
                 out: list[str | None] = []
+                hashes: list[str] = []
                 for x in column:
-                    if not x.is_valid:
-                        out.append(None)
-                        continue
-                    ids = x.values.to_numpy(zero_copy_only=False)
-                    out.append(b"".join(table[ids].tolist()).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), column.cast(pa.list_(pa.int32())), pa.array(out, pa.string())], schema=schema)
-
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+                    ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32)
+                    out.append(b"".join(table[ids].tolist()).decode("utf-8", "replace") if x.is_valid else None)
+                    if hashed:
+                        hashes.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), column.cast(pa.list_(pa.int32())), pa.array(out, pa.string()), *[pa.array(hashes, pa.string())] * hashed], schema=schema)
+            del batch
+        give_back()
 
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string" + ", ids_sha256 string" * hashed)
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what :func:`decode` returns."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, a, b = [], [], []
-            for ids, text in zip(batch.column(1), batch.column(2), strict=True):
-                x = ids.values.to_numpy(zero_copy_only=False).astype("<u4") if ids.is_valid else np.zeros(0, "<u4")
-                n.append(len(x))
-                a.append(hashlib.sha256(x.tobytes()).hexdigest())
-                b.append(hashlib.sha256((text.as_py() or "").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], schema=schema)
-
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digest(hashed: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what :func:`decode` returns with ``hashed``."""
+    n = F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids"))
+    return hashed.select("doc_id", n.cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"))
 
 
 def read_text(path: str) -> str:
