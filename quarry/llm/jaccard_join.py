@@ -17,11 +17,14 @@ smallest that has it; pairs pass a size test, then a second parity sketch whose
 Hamming distance bounds the symmetric difference, then the exact test. Sets too
 large for that sketch have a third one, with a bit for every two shingles or more;
 the longer of two is folded to the other's length. Links give components. Where a
-key's documents are still in several components, those outside the key's largest
-one are held against the others across components, in blocks of bounded size that
-are dealt out over tasks, and pairs that pass the tests are verified: no link is
-lost. Keys that very many documents share are found in a sample and dealt out
-apart from the others; the sample doesn't change the result.
+key's documents are still in several components, rounds come first: each document
+outside the key's largest component is paired with one of that component and one of
+another, chosen by hash, and of the pairs that pass the tests the closest to each
+component is verified. A large group of near copies so grows together by a few links
+a document. Those then still outside are held against the others across components,
+in blocks of bounded size that are dealt out over tasks, and pairs that pass the
+tests are verified: no link is lost. Keys that very many documents share are found
+in a sample and dealt out apart from the others; the sample doesn't change the result.
 
 Cases: a null or empty text has an empty set and links with nothing. Fewer than
 five words are one shingle. Repeated rows and ids are kept; rows of one doc_id
@@ -48,6 +51,11 @@ PERCENT = 80
 BITS = 1024
 #: Documents of a key that one task holds against each other, about; keys that are dealt apart, at most.
 BLOCK, MOST_HOT = 512, 4096
+#: Rounds of chosen pairs at most, so long as comparisons are more than so many times a key's documents and a round finds over one in so many of
+#: the first one's links. Keys choose by so many orders, so that a document gets a few partners from all of its keys. None of these changes the result.
+ROUNDS, PATIENCE, FADED, ORDERS = 6, 8, 4, 8
+#: What pairs are tested by.
+TOLD = ("n", "sketch", "wide")
 #: Frequent shingles are looked for in one document of so many; at most so many are told to the workers. They only order cells.
 SPARSE, MOST_FREQUENT, FREQUENT = 64, 50_000, 4
 
@@ -197,6 +205,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
+def _apart(left: str, right: str) -> str:
+    """The distance of two sketches."""
+    return " + ".join(f"bit_count({left}sketch[{i}] ^ {right}sketch[{i}])" for i in range(BITS // 64))  # written out, as loops aren't compiled
+
+
 def _close(left: str, right: str) -> F.Column:
     """The size test and the sketch tests: none rejects a pair that links."""
 
@@ -204,11 +217,10 @@ def _close(left: str, right: str) -> F.Column:
         return f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
 
     n, m = F.col(f"{left}n"), F.col(f"{right}n")
-    apart = " + ".join(f"bit_count({left}sketch[{i}] ^ {right}sketch[{i}])" for i in range(BITS // 64))  # written out, as loops aren't compiled
     x, y = f"{left}wide", f"{right}wide"
     farther = F.expr(f"aggregate(zip_with({folded(x, y)}, {folded(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (s, p) -> s + p)")
     narrow = (F.size(x) == 0) | (F.size(y) == 0)
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (9 * F.expr(apart) <= n + m) & (narrow | (9 * farther <= n + m))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (9 * F.expr(_apart(left, right)) <= n + m) & (narrow | (9 * farther <= n + m))
 
 
 def _hits(named: DataFrame) -> DataFrame:
@@ -225,6 +237,35 @@ def _hits(named: DataFrame) -> DataFrame:
     return dealt.select("key", "doc_id", pivot.alias("pivot"), last.alias("last")).where("pivot < last").select("key", "doc_id", "pivot")
 
 
+def _mixed(hits: DataFrame, found: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Keys whose documents are in several components, and their documents.
+
+    The keys: key, main (the largest component), pick (a document of it), other (any component), other_pick,
+    held (documents), inside (those of main). Picks are the first by a hash that changes with ``turn``.
+    The documents: key, doc_id, component; of other keys as well.
+    """
+    rows = written(hits.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")).distinct())
+    order = F.pmod("key", F.lit(ORDERS)), F.lit(turn)
+    counted = rows.groupBy("key", "component").agg(F.count("*").alias("held"), F.min(F.struct(F.xxhash64("doc_id", *order).alias("at"), "doc_id")).alias("first"))
+    any_one = F.struct(F.xxhash64("component", *order).alias("at"), "component", F.col("first.doc_id").alias("pick"))
+    keyed = counted.groupBy("key").agg(F.max(F.struct("held", "component", F.col("first.doc_id").alias("pick"))).alias("main"), F.min(any_one).alias("other"), F.sum("held").alias("held"), F.count("*").alias("n")).where("n > 1")
+    return written(keyed.select("key", F.col("main.component").alias("main"), "main.pick", F.col("other.component").alias("other"), F.col("other.pick").alias("other_pick"), "held", F.col("main.held").alias("inside"))), rows
+
+
+def _chosen(mixed: DataFrame, rows: DataFrame, stands: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a key's documents outside its main component with its two picks that pass the tests; for each a and component of b the closest."""
+    r, k = rows.alias("r"), mixed.alias("k")
+    outside = written(r.join(k, (F.col("r.key") == F.col("k.key")) & (F.col("r.component") != F.col("k.main"))).select("r.doc_id", "r.component", "k.main", "k.pick", "k.other", "k.other_pick"))
+    told = [F.col("doc_id").alias("a"), F.col("component").alias("a_component")]
+    pairs = outside.select(*told, F.col("pick").alias("b"), F.col("main").alias("b_component")).unionAll(outside.select(*told, F.col("other_pick").alias("b"), F.col("other").alias("b_component")))
+    pairs = pairs.where("a_component <> b_component").drop("a_component").distinct()
+    both = pairs.join(_side(stands, "a"), "a").join(_side(stands, "b"), "b").where(_close("a_", "b_"))
+    near = both.groupBy("a", "b_component").agg(F.min(F.struct(F.expr(_apart("a_", "b_")).alias("apart"), "b")).alias("near"))
+    found = written(near.select("a", F.col("near.b").alias("b")))
+    removed(outside)
+    return found
+
+
 def _across(several: DataFrame) -> DataFrame:
     """Pairs (a, b) of a key's documents in different components that pass the tests.
 
@@ -235,14 +276,24 @@ def _across(several: DataFrame) -> DataFrame:
     several = several.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     outside = several.where("component <> main").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     every = several.withColumn("mate", F.explode(F.expr("sequence(0, blocks - 1)")))
-    left = outside.select("key", F.col("block").alias("mate"), F.col("other").alias("block"), *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "component", "n", "sketch", "wide")))
-    right = every.select("key", "mate", "block", "main", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "component", "n", "sketch", "wide")))
-    met = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("main")) | (F.col("a_doc_id") > F.col("b_doc_id")))
+    told = ("doc_id", "component", "main", *TOLD)
+    left = outside.select("key", F.col("block").alias("mate"), F.col("other").alias("block"), *(F.col(c).alias(f"a_{c}") for c in told))
+    right = every.select("key", "mate", "block", *(F.col(c).alias(f"b_{c}") for c in told))
+    met = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_main")) | (F.col("a_doc_id") > F.col("b_doc_id")))
     close = left.join(right, ["key", "mate", "block"]).where(met & _close("a_", "b_"))
     close = close.select(F.greatest("a_doc_id", "b_doc_id").alias("a"), F.least("a_doc_id", "b_doc_id").alias("b"))
     return written(close.distinct())
 
 
+def _side(stands: DataFrame, p: str) -> DataFrame:
+    return stands.select(F.col("rep").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in TOLD))
+
+
+def _grown(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The components with more links."""
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+
+
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, n_shingles, component_id for each row of ``docs``; and links (a, b).
 
@@ -253,32 +304,37 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = written(_hits(every.where("doc_id is not null")))
     removed(every)
     named = facts.where("doc_id is not null and n > 0")
-    classes, told = ["n", "one", "two"], ["n", "sketch", "wide"]
+    classes = ["n", "one", "two"]
     stands = named.groupBy(*classes).agg(F.min(F.struct("doc_id", "sketch", "wide")).alias("s"))
     stands = written(stands.select(*classes, F.col("s.doc_id").alias("rep"), "s.sketch", "s.wide"))
     members = written(facts.select("doc_id", *classes).join(stands.select(*classes, "rep"), classes, "left").select("doc_id", "n", "rep"))
     hits = written(hits.join(stands.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
-    def side(p: str) -> DataFrame:
-        return stands.select(F.col("rep").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in told))
-
     pairs = hits.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a_", "b_")).select("a", "b").distinct())
+    pairs = written(pairs.join(_side(stands, "a"), "a").join(_side(stands, "b"), "b").where(_close("a_", "b_")).select("a", "b").distinct())
     # a doc_id that several texts have is one node, so it links their classes
     twice = members.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
     twice = twice.join(twice.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = _verified(pairs, docs).unionAll(twice)
     found = components(links)
     # keys whose documents are in several components still
-    grouped = hits.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")).distinct()
-    counted = grouped.groupBy("key", "component").agg(F.count("*").alias("held"))
-    mixed = counted.groupBy("key").agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("held"), F.count("*").alias("n")).where("n > 1")
-    mixed = mixed.select("key", F.col("main.component").alias("main"), F.ceil(F.col("held") / BLOCK).alias("blocks"))
-    several = grouped.join(mixed, "key").join(stands.select(F.col("rep").alias("doc_id"), *told), "doc_id")
-    more = _verified(_across(several), docs)
+    mixed, rows = _mixed(hits, found, 0)
+    gained = []  # links of each round
+    while len(gained) < ROUNDS and (not gained or FADED * gained[-1] > gained[0]):
+        compared, held = mixed.agg(F.sum(F.col("held") * (F.col("held") - F.col("inside"))), F.sum("held")).first()
+        if not held or compared <= PATIENCE * held:
+            break
+        more = _verified(_chosen(mixed, rows, stands), docs)
+        gained.append(more.count())
+        if not gained[-1]:
+            break
+        links, found = links.unionAll(more), _grown(found, more)
+        removed(mixed), removed(rows)
+        mixed, rows = _mixed(hits, found, len(gained))
+    rows = rows.join(mixed.select("key", "main", F.ceil(F.col("held") / BLOCK).alias("blocks")), "key")
+    more = _verified(_across(rows.join(stands.select(F.col("rep").alias("doc_id"), *TOLD), "doc_id")), docs)
     if more.head(1):
-        links = links.unionAll(more)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+        links, found = links.unionAll(more), _grown(found, more)
     out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     return out, links.unionAll(copies).distinct()

@@ -55,6 +55,29 @@ def test_join_of_a_passage_that_hundreds_share(spark, monkeypatch):
     assert len(set(got.values())) > 400
 
 
+def test_join_of_groups_whose_first_texts_link_with_few(spark, monkeypatch):
+    """Two large groups share half of their words. The smallest ids of each link with few others, of which about half link: links are verified by the document, not by the pair."""
+    asked, verified = [], jaccard_join._verified
+
+    def counted(pairs, docs):
+        asked.append(pairs.count())
+        return verified(pairs, docs)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    rng = random.Random(15)
+    stock = stock_of(rng, 3000)
+    shared, *groups = ([rng.choice(stock) for _ in range(60)] for _ in range(3))
+    rows = []
+    for i in range(240):
+        words = shared + groups[i % 2]
+        n = 7 if i < 20 else rng.choice([1, 2, 3])  # replaced words in a row
+        at = rng.randrange(len(words) - n)
+        rows.append((i, " ".join([*words[:at], *(f"own{i}x{k}" for k in range(n)), *words[at + n :]])))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))[0].collect()}
+    assert got == {d: c for (d, _), c in zip(rows, smallest_reachable(rows))}
+    assert sum(asked) < 6 * len(rows)
+
+
 def test_join_of_long_texts(spark):
     rng = random.Random(12)
     stock = stock_of(rng, 3000)
