@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,11 @@ PRIME = 2**31 - 1
 #: Keys beyond those that a similar pair must share one of: an n-th of the set.
 MORE = 16
 #: Bits of a key; keys in a sorted block; characters of text whose keys make a part; meetings counted at once.
-KEY_BITS, FLUSH_KEYS, PART_CHARS, HITS = 36, 2_000_000, 60_000_000, 2_000_000
+KEY_BITS, FLUSH_KEYS, PART_CHARS, HITS = 36, 2_000_000, 120_000_000, 2_000_000
 #: Blocks of texts that pairs are compared by.
 BLOCKS = 64
+#: From this band on (512 n-grams) keys are those of full cells of several deals, of which similar sets have MET in common but for a chance of exp(-SURE) e SURE.
+DEALT, DEALS, MET, SURE = 9, 2, 2, 36.0
 
 
 def exact_dedup(rows: DataFrame, key: Column, *best: Column) -> DataFrame:
@@ -98,14 +102,18 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.8, firsts: DataFrame | None = None, prepare: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """Pairs (a, b, similarity) whose sets of character 5-grams have a Jaccard similarity of ``threshold`` or more.
 
-    Exact. A set of n n-grams belongs to a size band (a power of two) that fixes a number
-    of cells; each n-gram falls into one, and a cell's key is a hash of all it holds. Sets
-    that differ in D n-grams differ in D cells at most, so of each set's cells the first
-    D + 1 + x by one global order (fullest first) have x + 1 keys or more in common. Keys
-    go in sorted blocks of some five bytes a key to the task of their band and part. A pair
-    with s common keys has s / parts of them in some part, and goes on to comparison from there;
-    so it costs no disk to meet a key that many texts have. Sets with too few cells have keys for
-    empty ones too. Copies meet as one text, known by 64 bits of its digest, and aren't paired
+    A set of n n-grams belongs to a size band (a power of two) that fixes a number of cells;
+    each n-gram falls into one, and a cell's key is a hash of all it holds. Similar sets differ
+    in D n-grams, in D cells at most. Below 512 n-grams the first D + 1 + x cells of a set by one
+    global order (fullest first) have x + 1 keys or more in common, and a pair with s common
+    keys has s / parts of them in some part. From 512 on that many keys would be met by chance
+    too often, with the square of the input; there the n-grams are dealt into fewer, larger cells,
+    and keys are those of cells with a least number of n-grams. ``layout`` sets the numbers so
+    that a similar pair shares two keys or more but for a chance under 1e-13 (less the more
+    similar it is), over the hash of n-grams; nothing else can be missed, and every pair told is
+    compared in full. Keys go in sorted blocks of some five bytes a key to the task of their
+    band and part; what a pair shares is added up over parts. Sets with too few cells have keys
+    for empty ones too. Copies meet as one text, known by 64 bits of its digest, and aren't paired
     with each other; the row that stands for a text is the one in ``firsts`` (node, id), else
     each. ``prepare`` is applied to the texts first. Texts under 5 characters, empty and null ones and null ids are in no pair.
     """
@@ -140,12 +148,64 @@ def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.select("a", "b", *others)
 
 
+def _tail(mean: float, least: int) -> float:
+    """The chance that a Poisson number is ``least`` or more."""
+    term = math.exp(-mean)
+    under = 0.0
+    for i in range(least):
+        under += term
+        term *= mean / (i + 1)
+    return max(0.0, 1 - under)
+
+
+@lru_cache
+def layout(band: int, threshold: float) -> tuple[int, int, int]:
+    """Deals, cells of each and the n-grams that a cell must hold to be a key, for sets of 2 ** band n-grams to twice as many.
+
+    The n-grams that similar sets don't share, n (1 - t) / t at most, leave a cell alone with a
+    chance of exp(-those / cells), whatever common ones it holds, at least 2 n t / (1 + t) in all.
+    Cells hit are negatively associated, so the number of cells shared has a tail no heavier than a
+    Poisson number's of the same mean, which is SURE at least. Of the layouts that reach it the one with
+    fewest meetings by chance is taken, at a guess of what sets of that size have in common.
+    """
+    sizes = [2**band * (1 + i / 4) for i in range(5)]
+    usual = min(0.7, 0.14 * 1.4 ** (band - 10))
+    best = None
+    for half in range(2, 40):
+        cells = max(1, int(2**band / (half / 2)))
+        for least in range(1, 28):
+            mean = min(cells * math.exp(-n * (1 - threshold) / threshold / cells) * _tail(2 * n * threshold / (1 + threshold) / cells, least) for n in sizes)
+            deals = math.ceil(SURE / mean) if mean > SURE / 20 else 99
+            union = 2 * 1.4 * 2**band / (1 + usual) / cells
+            chance = deals * cells * math.exp(-union * (1 - usual)) * _tail(union * usual, least)
+            if deals < 99:
+                best = min(best or (99, 0.0, 0, 0), (max(deals, DEALS), chance, cells, least))
+    return best[0], best[2], best[3]
+
+
+def _dealt(h: np.ndarray, band: int, threshold: float) -> np.ndarray:
+    deals, cells, least = layout(band, threshold)
+    out = []
+    for i in range(deals):
+        x = _mixed(h + np.uint64((i + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+        cell = (((x >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+        held = np.bincount(cell, minlength=cells)
+        told = np.bincount(cell, (x & np.uint64(0xFFFFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
+        full = np.flatnonzero(held >= least)
+        out.append(_mixed(told[full] + _mixed((full + (i << 32)).astype(np.uint64))))
+    return np.concatenate(out)
+
+
 def cell_keys(h: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, int]]:
-    """Band, keys and the number of them that a similar set of that band must share, for each band that the set ``h`` has partners in."""
+    """Band, keys and the number of them that a similar set of that band must share (0: MET of dealt cells), for each band that the set ``h`` has partners in."""
     n = len(h)
     own = n.bit_length() - 1
     band = own
     while band >= 0 and threshold * n <= 2 ** (band + 1) - 1 + 1e-6:
+        if band >= DEALT:
+            yield band, _dealt(h, band, threshold), 0
+            band -= 1
+            continue
         # as the smaller of a pair, or its like; in bands below, as the larger one
         most = int(n * (1 - threshold) / threshold + 1e-6) if band == own else int((n + min(n, 2 ** (band + 1) - 1)) * (1 - threshold) / (1 + threshold) + 1e-6)
         cells = int(2.4 * 2**band * (1 - threshold) / threshold) + 3
@@ -186,6 +246,7 @@ def _met(rows: DataFrame, across: bool, threshold: float) -> DataFrame:
     """Pairs (a, b) of nodes of ``rows`` (node, text, side) that share keys enough; ``across``: of side 0 with side 1. Rows of one node have one text."""
     size = rows.agg(F.sum(F.length("text").cast("long"))).head()[0] or 0
     parts = max(1, -(-size // PART_CHARS))
+    few = -(-parts // 16)  # small sets have few keys, and count them within a part
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, keys, groups, total = [], [], [], 0
@@ -193,7 +254,8 @@ def _met(rows: DataFrame, across: bool, threshold: float) -> DataFrame:
         def flush() -> pa.RecordBatch:
             key = np.concatenate(keys)
             who = np.repeat(np.arange(len(docs)), [len(k) for k in keys])
-            group = np.repeat(np.array(groups, np.uint64) * np.uint64(parts), [len(k) for k in keys]) + (key & np.uint64(0xFFFFFF)) % np.uint64(parts)
+            band = np.repeat(np.array(groups, np.uint64), [len(k) for k in keys])
+            group = band * np.uint64(parts) + (key & np.uint64(0xFFFFFF)) % np.where(band < DEALT, few, parts).astype(np.uint64)
             order = np.argsort((group << np.uint64(KEY_BITS)) | (key >> np.uint64(64 - KEY_BITS)))
             key, who, group = (key >> np.uint64(64 - KEY_BITS))[order], who[order], group[order]
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -262,14 +324,18 @@ def _met(rows: DataFrame, across: bool, threshold: float) -> DataFrame:
             times, met = np.diff(np.append(new, len(met))), met[new]
             x, y = docs[met // len(docs)], docs[met % len(docs)]
             small, large = np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1])
-            ok = (times * parts >= np.minimum(x[:, 2], y[:, 2])) & (small >= threshold * large - 1e-6)
-            out.append((y[ok, 0], x[ok, 0]))
+            need = np.minimum(x[:, 2], y[:, 2])
+            ok = (times * few >= need) & (small >= threshold * large - 1e-6)
+            a, b = y[ok, 0], x[ok, 0]
+            if not across:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            out.append((a, b, np.where(need[ok] > 0, MET, times[ok])))
             at = to
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
-        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+        return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)])) for i in range(3)], names=["a", "b", "times"])
 
     blobs = rows.mapInArrow(emit, "group long, blob binary")
-    return blobs.groupBy("group").applyInArrow(meet, "a long, b long")
+    met = blobs.groupBy("group").applyInArrow(meet, "a long, b long, times long")
+    return met.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= MET).select("a", "b")
 
 
 def _coefficients(permutations: int) -> tuple[np.ndarray, np.ndarray]:

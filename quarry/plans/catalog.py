@@ -101,16 +101,12 @@ o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.
 p AS (SELECT a, b, c / (u.n + v.n - c) AS s FROM o JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE c / (u.n + v.n - c) >= 0.8)"""
 
 
-def first_questions(d: Tables) -> DataFrame:
-    """The rows that exact dedup keeps: node (a digest of the normalized text), id. Ids and digests are dealt out, not texts."""
-    norm = t.normalize_question(F.col("text"))
-    told = written(d.documents.select("doc_id", "source", F.sha2(norm, 256).alias("long"), F.xxhash64(norm).alias("node")))
-    kept = dedup.exact_dedup(told, F.col("long"), priority(), F.col("doc_id")).where("kept")
-    return written(kept.select("node", F.col("doc_id").alias("id")))
-
-
 def question_pairs(d: Tables, pairs: Callable) -> DataFrame:
-    return pairs(d.documents, "doc_id", "text", firsts=first_questions(d), prepare=t.normalize_question)
+    """Pairs among the rows that exact dedup keeps. Texts are normalized once and written; ids and digests are dealt out, not texts."""
+    norm = t.normalize_question(F.col("text"))
+    told = written(d.documents.select("doc_id", "source", norm.alias("norm")).withColumns({"long": F.sha2("norm", 256), "node": F.xxhash64("norm")}))
+    kept = dedup.exact_dedup(told.drop("norm"), F.col("long"), priority(), F.col("doc_id")).where("kept")
+    return pairs(told, "doc_id", "norm", firsts=written(kept.select("node", F.col("doc_id").alias("id"))))
 
 
 @query(f"{PAIRS} SELECT a, b, round(s, 6) AS similarity FROM p")

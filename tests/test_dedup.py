@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.operators import dedup
@@ -98,3 +99,31 @@ def test_parts_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(dedup, "HITS", 50)
     test_pairs(spark)
     test_contaminated_near(spark)
+
+
+def shared_keys(x, y):
+    keys = lambda h: {(band, int(k)) for band, key, _ in dedup.cell_keys(h, 0.8) for k in key}
+    return len(keys(x) & keys(y))
+
+
+def test_large_sets_seldom_meet_by_chance():
+    rng = np.random.default_rng(13)
+    usual = rng.integers(0, 2**64, 900, np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(usual, 600, False), rng.integers(0, 2**64, 1000, np.uint64)])) for _ in range(40)]
+    met = [shared_keys(x, y) for i, x in enumerate(sets) for y in sets[:i]]
+    assert sum(met) < 0.05 * len(met)
+
+
+def test_similar_large_sets_share_keys():
+    rng = np.random.default_rng(14)
+    for n in (480, 512, 600, 900, 1023, 1024, 1100, 2047, 2048, 2500, 4095, 4096, 9000, 20000):
+        for other in {n, n + n // 8, n + n // 4}:
+            for _ in range(6):
+                common = -(-4 * (n + other) // 9)  # the least that makes 0.8
+                told = rng.integers(0, 2**64, n + other - common, np.uint64)
+                x, y = np.sort(told[:n]), np.sort(np.concatenate([told[:common], told[n:]]))
+                assert len(y) == other and common / len(told) >= 0.8
+                assert shared_keys(x, y) >= dedup.MET
+    for band in range(dedup.DEALT, 24):
+        for threshold in (0.5, 0.8, 0.95):
+            assert dedup.layout(band, threshold)[0] >= dedup.DEALS
