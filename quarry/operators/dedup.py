@@ -21,8 +21,8 @@ PRIME = 2**31 - 1
 MORE = 16
 #: Bits of a key; keys in a sorted block; characters of text whose keys make a part; meetings counted at once.
 KEY_BITS, FLUSH_KEYS, PART_CHARS, HITS = 36, 2_000_000, 120_000_000, 2_000_000
-#: Blocks of texts that pairs are compared by.
-BLOCKS = 64
+#: Places where pairs are compared; pairs of one neighbourhood in a block, and blocks a side at most.
+PLACES, BLOCK_PAIRS, BLOCKS = 4096, 5000, 64
 #: From this band on (512 n-grams) keys are those of full cells of several deals, of which similar sets have MET in common but for a chance of exp(-SURE) e SURE.
 DEALT, DEALS, MET, SURE = 9, 2, 2, 36.0
 
@@ -65,13 +65,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, prepare: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """Pairs (a, b, similarity) of ``pairs`` whose texts in ``texts`` (id, text) are similar enough, by their n-grams.
 
-    Texts in a pair are carried once for each of BLOCKS blocks of partners at most,
-    so the texts of a large group aren't carried once for each of its pairs.
+    A pair goes to the place of its first text's smallest neighbour, so texts that are all
+    similar meet at one place, and each is carried there once; large neighbourhoods are cut
+    into blocks of texts, and a text is carried once for each of BLOCKS blocks of partners at most.
     """
     pairs = written(pairs.distinct())
-    for x in ("a", "b"):
-        pairs = pairs.withColumn(f"block_{x}", F.pmod(F.xxhash64(F.lit(1), x), F.lit(BLOCKS)))
-    pairs = pairs.select("a", "b", F.concat_ws(":", "block_a", "block_b").alias("group"))
+    ends = pairs.select(F.col("a").alias("of"), F.least("a", "b").alias("label")).unionAll(pairs.select("b", F.least("a", "b")))
+    pairs = written(pairs.join(ends.groupBy("of").agg(F.min("label").alias("label")), pairs["a"] == F.col("of")).drop("of"))
+    large = pairs.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK_PAIRS)
+    large = large.select("label", F.least(F.ceil(F.sqrt(F.col("n") / BLOCK_PAIRS)), F.lit(BLOCKS)).alias("blocks"))
+    pairs = pairs.join(F.broadcast(large), "label", "left")
+    block = [F.pmod(F.xxhash64(F.lit(1), x), F.coalesce("blocks", F.lit(1))) for x in ("a", "b")]
+    pairs = pairs.select("a", "b", F.concat_ws(":", F.pmod(F.xxhash64(F.lit(2), "label"), F.lit(PLACES)), *block).alias("group"))
     places = pairs.select(F.col("a").alias("id"), F.col("group").alias("place")).unionAll(pairs.select("b", "group")).distinct()
     held = texts.join(places, "id").select("id", prepare(F.col("text")).alias("text"), "place")
     kind = texts.schema["id"].dataType.simpleString()

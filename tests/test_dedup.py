@@ -127,3 +127,22 @@ def test_similar_large_sets_share_keys():
     for band in range(dedup.DEALT, 24):
         for threshold in (0.5, 0.8, 0.95):
             assert dedup.layout(band, threshold)[0] >= dedup.DEALS
+
+
+def test_texts_of_a_group_are_carried_once(spark):
+    rng = random.Random(15)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        base = words(6000)
+        texts += [" ".join(base[:i] + words(1) + base[i + 1 :]) for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = shuffled(spark)
+    assert dedup.similar_pairs(df, "doc_id", "text").count() == 12 * 10 * 9 // 2
+    assert shuffled(spark) - before < 4 * sum(map(len, texts))
+
+
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_PAIRS", 2)
+    monkeypatch.setattr(dedup, "PLACES", 3)
+    test_pairs(spark)
